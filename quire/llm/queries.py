@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, fingerprints, line_dedup, mixing, packing, url_filter
+from quire.llm import chat_format, fingerprints, line_dedup, mixing, ngram_join, packing, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROBE = "\\### Assistant: </turn> ok"
@@ -25,6 +25,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as bigint) conv_id", "cast(turn as bigint) turn", "role", "text")
     probe = spark.range(2).selectExpr("cast(-7 as bigint) conv_id", "id turn", "if(id = 0, 'user', 'assistant') role").withColumn("text", F.lit(PROBE))
@@ -103,6 +107,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_url_filters": op2_url_filters,
+        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_chat_formatting": op4_chat_formatting,
         "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,

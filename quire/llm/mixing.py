@@ -40,11 +40,10 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"[{WHITE}]*[^{WHITE}]+"), F.lit(0)), F.lit(1), F.greatest(n, F.lit(0)).cast("int")), "")
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with a column weight, from the highest quality label of their doc_id."""
-    best = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
-    weight = F.when(F.col("_quality") >= 1, QUALITY[1]).when(F.col("_quality") < 1, QUALITY[0]).otherwise(QUALITY[None])
-    return docs.join(best, F.col("doc_id") == F.col("_id"), "left").withColumn("weight", weight).drop("_id", "_quality")
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """doc_id, weight from the highest quality label of each doc_id."""
+    best = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return best.select("doc_id", F.when(F.col("quality") >= 1, QUALITY[1]).otherwise(QUALITY[0]).alias("weight"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -60,17 +59,22 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return leveled.select("source", "source_size", F.least(full.cast("double"), F.coalesce(F.col("w") * F.col("level"), F.lit(0.0))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, ranges: int = RANGES, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, ranges: int = RANGES, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document, and the columns of ``keep``.
 
-    docs: doc_id, text, source, and optionally weight (positive; default 1).
+    quality: doc_id (unique), weight (positive; 1 where a document has none).
     A null text has size 0 and gives nothing.  Null sources are one source, the last.  Repeated rows
     are documents of their own that share a key; their order does not change any sum.
     Runs over the same rows agree.
     """
-    weight = F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(1.0)), F.lit(1e-9)) if "weight" in docs.columns else F.lit(1.0)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *keep)
+    if quality is not None:
+        narrow = narrow.join(quality.select(F.col("doc_id").alias("_id"), "weight"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    else:
+        narrow = narrow.withColumn("weight", F.lit(1.0))
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), (-F.ln(u) / weight).alias("key"), *keep)
+    weight = F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(QUALITY[None])), F.lit(1e-9))
+    narrow = narrow.withColumn("key", -F.ln(u) / weight).drop("weight")
     narrow = written(narrow.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int")), "mixing")
     sums = narrow.groupBy("source", "range").agg(F.sum("size").alias("words"))
     sized = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)

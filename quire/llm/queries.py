@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, fingerprints, line_dedup, mixing, ngram_join, packing, url_filter
+from quire.llm import chat_format, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROBE = "\\### Assistant: </turn> ok"
@@ -38,6 +38,16 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("x.turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("x.loss").cast("long").alias("loss_chars"), F.sha2(F.col("x.loss"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -109,6 +119,8 @@ def queries() -> dict[str, Query]:
         "op2_url_filters": op2_url_filters,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_chat_formatting": op4_chat_formatting,
+        "op5_toxicity": op5_toxicity,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
         "op9_mixing": op9_mixing,

@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are trained on a bounded sample of labelled texts:
 one on ordinary text, one on what toxic text has of its own (words
-around byte strings much more frequent in toxic texts).  Every window of a text
+around strings much more frequent in toxic texts, the most frequent nearest to the window).  Every window of a text
 is compressed with the ordinary dictionary and with both; the bytes saved say
 how far the window is from ordinary and how near to toxic text.  Counts of
 windows above thresholds of saved bytes make the score, by a logistic regression that is
@@ -26,10 +26,12 @@ WINDOW = 64
 OVERLAP = 8
 LEVEL = 3
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
-GRAM = 5
+GRAMS = (5, 7, 9)
 RATIO = 10.0
+#: toxic texts that must hold a string of their own: so many and this share
+LEAST, LEAST_SHARE = 4, 0.04
 ORDINARY_BYTES = 16384
-TOXIC_BYTES = 700
+TOXIC_BYTES = 512
 #: bounds of the labelled sample: texts of each class, and code points of a text that is used for fitting
 SAMPLE = 4000
 SAMPLE_CHARS = 65536
@@ -67,9 +69,20 @@ def features(text: str, ordinary: bytes, toxic: bytes) -> np.ndarray:
     return np.concatenate([[1.0], np.log1p(above), above / len(saved) * 10, [saved.max(), saved.mean()]])
 
 
-def _grams(text: str) -> set[bytes]:
-    data = f" {text.lower()} ".encode("utf-8", "replace")
-    return {data[i : i + GRAM] for i in range(len(data) - GRAM + 1)}
+def _padded(word: str) -> bytes:
+    return f" {word} ".encode("utf-8", "replace")
+
+
+def _counted(texts: list[str]) -> tuple[Counter, Counter]:
+    """Texts that hold each word; and, summed over words, those with each string of GRAMS bytes in a word."""
+    words = Counter(w for t in texts for w in set(t.lower().split()))
+    grams: Counter[bytes] = Counter()
+    for word, n in words.items():
+        data = _padded(word)
+        for size in GRAMS:
+            for g in {data[i : i + size] for i in range(len(data) - size + 1)}:
+                grams[g] += n
+    return words, grams
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -80,12 +93,18 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 
 def _own_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Words of toxic texts that hold byte strings much more frequent there, with repetitions."""
-    in_toxic, in_ordinary = Counter(g for t in toxic for g in _grams(t)), Counter(g for t in ordinary for g in _grams(t))
-    least = max(2 if len(toxic) < 100 else 3, 0.004 * len(toxic))
+    """Words around byte strings much more frequent in toxic texts; those that most texts hold last."""
+    (words, in_toxic), (_, in_ordinary) = _counted(toxic), _counted(ordinary)
+    least = max(LEAST, LEAST_SHARE * len(toxic))
     own = {g for g, n in in_toxic.items() if n >= least and n / len(toxic) > RATIO * (in_ordinary[g] + 0.5) / max(1, len(ordinary))}
-    words = (f" {w} ".encode("utf-8", "replace") for t in toxic for w in t.lower().split())
-    return [w for w in words if any(w[i : i + GRAM] in own for i in range(len(w) - GRAM + 1))]
+    forms = [(n, w) for n, w in sorted((n, _padded(w)) for w, n in words.items()) if n >= LEAST and any(w[i : i + size] in own for size in GRAMS for i in range(len(w) - size + 1))]
+    cores = Counter({w: max((in_toxic[w[i : i + GRAMS[0]]], w[i : i + GRAMS[0]]) for i in range(len(w) - GRAMS[0] + 1) if any(w[i : i + size] in own for size in GRAMS)) for _, w in forms})
+    stems: dict[bytes, list[tuple[int, bytes]]] = {}
+    for n, w in forms:
+        stems.setdefault(cores[w][1], []).append((n, w))
+    # each stem's most frequent words, stems in turn, so that no stem with many endings crowds out the rest
+    turns = max(map(len, stems.values()), default=0)
+    return [w for k in range(turns - 1, -1, -1) for _, _, w in sorted((sum(n for n, _ in held), held[-1 - k][0], held[-1 - k][1]) for held in stems.values() if len(held) > k)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -107,8 +126,7 @@ def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> Mo
     windows = [w for t in ordinary for w in (lambda d: [d[i : i + 200] for i in range(0, len(d), 200)])(t.lower().encode("utf-8", "replace")) if len(w) >= 8]
     keep = np.random.default_rng(SEED).permutation(len(windows))[:16384]
     common = _trained([windows[i] for i in sorted(keep)], ORDINARY_BYTES) or b" "
-    ranked = [w for w, _ in sorted(Counter(_own_words(toxic, ordinary)).items(), key=lambda x: (-x[1], x[0]))]
-    own = b"".join(w[:-1] for w in ranked[::-1])[-TOXIC_BYTES:] + b" "
+    own = b"".join(w[:-1] for w in _own_words(toxic, ordinary))[-TOXIC_BYTES:] + b" "
     x = np.array([features(t, common, own) for t in [*toxic, *ordinary]])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     share = share if share else len(toxic) / len(y)

@@ -104,31 +104,38 @@ def text_blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int
         lo = hi
 
 
-def _long_words(buf: np.ndarray) -> np.ndarray:
-    """Word hashes of one long text, block by block, so that memory follows its words."""
-    out, at = [], 0
+def _cuts(buf: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of one long text, cut between words."""
+    at = 0
     while at < len(buf):
         to = min(len(buf), at + BLOCK)
         while to < len(buf) and _IS_WORD[buf[to - 1]] and _IS_WORD[buf[to]]:
             gap = np.flatnonzero(~_IS_WORD[buf[to : to + BLOCK]])
             to = to + int(gap[0]) if len(gap) else min(len(buf), to + BLOCK)
-        part = buf[at:to]
-        out.append(span_hashes(part, *word_spans(part)))
+        yield buf[at:to]
         at = to
+
+
+def _long_words(buf: np.ndarray) -> np.ndarray:
+    """Word hashes of one long text, block by block, so that memory follows its words."""
+    out = [span_hashes(part, *word_spans(part)) for part in _cuts(buf)]
     return np.concatenate(out) if out else np.zeros(0, dtype=_U)
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, hashes of its words in order) for every row of a string column."""
+def word_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, and of each word its start, end, hash and row), block by block.
+
+    A long text comes in several blocks.
+    """
     for lo, hi, buf, offsets in text_blocks(column):
         if hi - lo == 1 and len(buf) > BLOCK:
-            yield lo, _long_words(buf)
+            for part in _cuts(buf):
+                starts, ends = word_spans(part)
+                yield lo, hi, part, starts, ends, span_hashes(part, starts, ends), np.full(len(starts), lo)
             continue
         starts, ends = word_spans(buf, offsets[:-1])
-        hashes = span_hashes(buf, starts, ends)
-        bounds = np.searchsorted(starts, offsets)
-        for i in range(hi - lo):
-            yield lo + i, hashes[bounds[i] : bounds[i + 1]]
+        counts = np.diff(np.searchsorted(starts, offsets))
+        yield lo, hi, buf, starts, ends, span_hashes(buf, starts, ends), np.repeat(np.arange(lo, hi), counts)
 
 
 def _windows(words: np.ndarray, width: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, toxicity, url_filter
+from quire.llm import chat_format, embedding_dedup, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, packing, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROBE = "\\### Assistant: </turn> ok"
@@ -62,6 +62,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
+
+
 _OP2 = """
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
@@ -124,6 +128,7 @@ def queries() -> dict[str, Query]:
         "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
         "op9_mixing": op9_mixing,
+        "op10_lm_scoring": op10_lm_scoring,
     }
 
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from quire.plans import alignment, evaluation, signals, tables
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return evaluation.QUERIES | alignment.QUERIES | tables.QUERIES | signals.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return evaluation.SQL | alignment.SQL | tables.SQL | signals.SQL

@@ -73,15 +73,16 @@ def _padded(word: str) -> bytes:
     return f" {word} ".encode("utf-8", "replace")
 
 
-def _counted(texts: list[str]) -> tuple[Counter, Counter]:
-    """Texts that hold each word; and, summed over words, those with each string of GRAMS bytes in a word."""
+def _counted(texts: list[str], of: set[bytes] | None = None) -> tuple[Counter, Counter]:
+    """Texts that hold each word; and, summed over words, those with each string of GRAMS bytes in a word, or of those in ``of``."""
     words = Counter(w for t in texts for w in set(t.lower().split()))
     grams: Counter[bytes] = Counter()
     for word, n in words.items():
         data = _padded(word)
         for size in GRAMS:
             for g in {data[i : i + size] for i in range(len(data) - size + 1)}:
-                grams[g] += n
+                if of is None or g in of:
+                    grams[g] += n
     return words, grams
 
 
@@ -94,9 +95,11 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 def _own_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """Words around byte strings much more frequent in toxic texts; those that most texts hold last."""
-    (words, in_toxic), (_, in_ordinary) = _counted(toxic), _counted(ordinary)
+    words, in_toxic = _counted(toxic)
     least = max(LEAST, LEAST_SHARE * len(toxic))
-    own = {g for g, n in in_toxic.items() if n >= least and n / len(toxic) > RATIO * (in_ordinary[g] + 0.5) / max(1, len(ordinary))}
+    in_toxic = Counter({g: n for g, n in in_toxic.items() if n >= least})
+    in_ordinary = _counted(ordinary, set(in_toxic))[1]
+    own = {g for g, n in in_toxic.items() if n / len(toxic) > RATIO * (in_ordinary[g] + 0.5) / max(1, len(ordinary))}
     forms = [(n, w) for n, w in sorted((n, _padded(w)) for w, n in words.items()) if n >= LEAST and any(w[i : i + size] in own for size in GRAMS for i in range(len(w) - size + 1))]
     cores = Counter({w: max((in_toxic[w[i : i + GRAMS[0]]], w[i : i + GRAMS[0]]) for i in range(len(w) - GRAMS[0] + 1) if any(w[i : i + size] in own for size in GRAMS)) for _, w in forms})
     stems: dict[bytes, list[tuple[int, bytes]]] = {}
@@ -156,24 +159,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     by = [F.md5(F.concat(F.lit(f"{SEED}:"), F.col("doc_id").cast("string"))), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*by).limit(sample).unionByName(known.where("toxic = 0").orderBy(*by).limit(sample))
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen.collect()], "_id long, toxic int")  # at most 2 * sample ids
-    texts = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
     held = texts.toPandas().sort_values(["doc_id", "text"]) if total else None
     if held is None:
         return fit([], [])
     return fit(held.text[held.toxic == 1].tolist(), held.text[held.toxic == 0].tolist(), total.get(1, 0) / sum(total.values()))
 
 
-def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score, predicted of every whole text, and the columns of ``keep``; null texts are empty, repeated rows stay.
+def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), names: tuple[str, str, str] = ("doc_id", "score", "predicted")) -> DataFrame:
+    """doc_id, score, predicted of every whole text, under ``names``, and the columns of ``keep``; null texts are empty, repeated rows stay.
 
     Only the text enters the score, so equal texts have equal scores.
     """
-    schema = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    names = [f.name for f in schema]
+    kept = docs.select(F.col("doc_id").cast("long").alias(names[0]), *[F.col(f"`{c}`") for c in keep])
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.IntegerType())])
+    fields = [f.name for f in schema]
 
     def each(batches):
         for batch in batches:
             scores = [score(t or "", model) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, type=pa.float64()), pa.array([int(s >= 0.5) for s in scores], type=pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, type=pa.float64()), pa.array([int(s >= 0.5) for s in scores], type=pa.int32())], names=fields)
 
-    return docs.select(F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("doc_id"), *keep).mapInArrow(each, schema)
+    return docs.select(F.col("text").alias("__quire_text"), F.col("doc_id").cast("long").alias(names[0]), *[F.col(f"`{c}`") for c in keep]).mapInArrow(each, schema)

@@ -49,28 +49,31 @@ def chunk_rows(docs: DataFrame, seeds: tuple[int, ...] = SEEDS, modulus: int = M
     return lines.select("doc_id", "row", F.explode(_chunks(F.col("lines"), seeds, modulus, long_words)).alias("c")).select("doc_id", "row", "c.hash", "c.first", "c.last")
 
 
-def dedup_lines(docs: DataFrame, seeds: tuple[int, ...] = SEEDS, modulus: int = MODULUS, long_words: int = LONG_WORDS) -> DataFrame:
-    """The columns of docs, text without repeated chunks, and n_lines, removed_lines.
+def dedup_lines(docs: DataFrame, seeds: tuple[int, ...] = SEEDS, modulus: int = MODULUS, long_words: int = LONG_WORDS, counts: tuple[str, str] = ("n_lines", "removed_lines")) -> DataFrame:
+    """The columns of docs, text without repeated chunks, and how many lines a text had and lost, in columns named by ``counts``.
 
     A null text stays null with 0 lines; an empty one is one line.  Rows alike in doc_id and text are one occurrence, so
-    they keep or lose the same lines.  A text can become empty; no row goes.
+    they keep or lose the same lines.  A text can become empty; no row goes.  Columns named as
+    ``counts`` are replaced; other columns, whatever their names, stay.
     """
-    docs = docs.drop("n_lines", "removed_lines")
+    docs = docs.drop(*counts)
     rows = chunk_rows(docs, seeds, modulus, long_words)
     place = F.struct("doc_id", "row", "first")
     repeated = rows.groupBy("hash").agg(F.min(place).alias("stays"), F.max(place).alias("ends")).where("stays != ends")
     found = rows.join(repeated.select("hash", "stays"), "hash")
-    lists = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("hash", "first", "last", (place != F.col("stays")).alias("again"))).alias("_chunks")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_chunks")
-    same = lambda: F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row"))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    held = keyed.join(lists.hint("shuffle_hash"), same(), "left").drop("_id", "_row")
-    texts = held.where("_chunks is not null").select(F.explode("_chunks").alias("c"), F.split("text", "\n").alias("lines"))
+    own_id, own_key, id_, row, chunks_, false_, lines_, lost_ = (f"__quire_{x}" for x in ("doc", "key", "id", "row", "chunks", "false", "lines", "lost"))
+    lists = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("hash", "first", "last", (place != F.col("stays")).alias("again"))).alias(chunks_)).withColumnsRenamed({"doc_id": id_, "row": row})
+    same = F.col(own_id).eqNullSafe(F.col(id_)) & (F.col(own_key) == F.col(row))
+    keyed = docs.withColumns({own_id: F.col("doc_id"), own_key: F.xxhash64("doc_id", "text")})
+    held = keyed.join(lists.hint("shuffle_hash"), same, "left").drop(id_, row)
+    texts = held.where(F.col(chunks_).isNotNull()).select(F.explode(chunks_).alias("c"), F.split("text", "\n").alias("lines"))
     texts = texts.select("c.hash", F.array_join(F.slice("lines", F.col("c.first"), F.col("c.last") - F.col("c.first") + 1), "\n").alias("bytes"))
     unequal = texts.groupBy("hash").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).where("a != b").select("hash")
-    false = found.join(unequal, "hash", "left_semi").groupBy("doc_id", "row").agg(F.collect_set("hash").alias("_false")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_false")
-    held = held.join(false.hint("shuffle_hash"), same(), "left").drop("_id", "_row", "_key")
-    gone = F.filter(F.coalesce("_chunks", F.array().cast("array<struct<hash:bigint,first:int,last:int,again:boolean>>")), lambda c: c["again"] & ~F.coalesce(F.array_contains("_false", c["hash"]), F.lit(False)))
+    false = found.join(unequal, "hash", "left_semi").groupBy("doc_id", "row").agg(F.collect_set("hash").alias(false_)).withColumnsRenamed({"doc_id": id_, "row": row})
+    held = held.join(false.hint("shuffle_hash"), same, "left").drop(id_, row)
+    gone = F.filter(F.coalesce(chunks_, F.array().cast("array<struct<hash:bigint,first:int,last:int,again:boolean>>")), lambda c: c["again"] & ~F.coalesce(F.array_contains(false_, c["hash"]), F.lit(False)))
     lost = F.array_distinct(F.flatten(F.transform(gone, lambda c: F.sequence(c["first"], c["last"]))))
-    out = held.withColumn("_lines", F.split("text", "\n")).withColumn("_lost", lost)
-    text = F.when(F.size("_lost") == 0, F.col("text")).otherwise(_let(F.map_from_arrays(F.col("_lost"), F.col("_lost")), lambda m: F.array_join(F.filter("_lines", lambda x, i: ~F.map_contains_key(m, i + 1)), "\n")))
-    return out.select(*[text.alias("text") if c == "text" else c for c in docs.columns], F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines")).alias("n_lines"), F.size("_lost").alias("removed_lines"))
+    out = held.withColumns({lines_: F.split("text", "\n"), lost_: lost})
+    text = F.when(F.size(lost_) == 0, F.col("text")).otherwise(_let(F.map_from_arrays(F.col(lost_), F.col(lost_)), lambda m: F.array_join(F.filter(lines_, lambda x, i: ~F.map_contains_key(m, i + 1)), "\n")))
+    n_lines = F.when(F.col(lines_).isNull(), F.lit(0)).otherwise(F.size(lines_))
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], n_lines.alias(counts[0]), F.size(lost_).alias(counts[1]))

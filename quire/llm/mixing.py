@@ -60,7 +60,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, ranges: int = RANGES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document, and the columns of ``keep``.
+    """doc_id, source, size, source_size, target, taken of every document, and the columns of ``keep``, which must have other names.
 
     quality: doc_id (unique), weight (positive; 1 where a document has none).
     A null text has size 0 and gives nothing.  Null sources are one source, the last.  Repeated rows

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to all cores where they come in fewer files than there are cores; else as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def misread(text: Column) -> Column:
     """What a poor recogniser makes of a line: ASCII confusions, and blanks lost behind commas."""
     return F.replace(F.replace(F.translate(text, "vjVJ", "uiUI"), F.lit("th"), F.lit("tn")), F.lit(", "), F.lit(","))
@@ -28,7 +34,7 @@ def lines(spark: SparkSession, sf_dir: str, width: int = WIDTH) -> DataFrame:
 
     Edit distances are quadratic in the length, so long lines become pieces; nothing is left out.
     """
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "t"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "t"))
     rows = rows.withColumn("t", strip(F.col("t"))).where("t != ''")
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.length("t") - 1) / width).cast("int"))))
     ref = F.substring("t", F.col("piece") * width + 1, F.lit(width))

@@ -32,7 +32,7 @@ PERCENT = 80
 HOT = 1 << 20
 SHORT = 64
 BLOCK = 512
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 _U = np.uint64
 
 
@@ -128,7 +128,7 @@ def _short_pairs(starts, sizes, sid, n, rank, short: int, percent: int):
     for size in np.unique(sizes[(sizes >= 2) & (sizes <= short)]):
         at = starts[sizes == size]
         i, j = np.triu_indices(int(size), 1)
-        step = max(1, (1 << 21) // len(i))
+        step = max(1, (1 << 19) // len(i))
         for lo in range(0, len(at), step):
             x, y = (at[lo : lo + step, None] + i).ravel(), (at[lo : lo + step, None] + j).ravel()
             fits = (100 * n[x] >= percent * n[y]) & (1 + np.minimum(n[x] - rank[x] - 1, n[y] - rank[y] - 1) + np.minimum(rank[x], rank[y]) >= least_overlap(n[x] + n[y], percent))
@@ -172,7 +172,7 @@ def candidate_edges(texts: DataFrame, hot: np.ndarray, parts: int, width: int, p
                     first = s[:length]
                 held.append((first, name, len(s)))
                 size += len(first)
-                if size >= FLUSH // 4:
+                if size >= FLUSH // 2:
                     yield flush()
                     held, size = [], 0
         if held:

@@ -12,30 +12,43 @@ _tables: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder where the session has none."""
+    """spark.checkpoint.dir of the session; where it is unset, as in tests, a temporary folder is set."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
-        held = f"file://{tempfile.mkdtemp(prefix='quire-')}"
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='quire-')}"
         spark.conf.set("spark.checkpoint.dir", held)
     return held.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The rows of df from a table written once, so that what depends on their partitions agrees."""
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """The rows of df from a table written once, so that lineage ends there and what depends on their partitions agrees."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/staged-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session has ended
+        pass
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table that ``staged`` returned; nothing lazy may still need it."""
+    bare = lambda p: p.split("://")[-1]
+    folders = {bare(f.rsplit("/", 1)[0]) for f in df.inputFiles()}
+    for item in [x for x in _tables if any(f.endswith(bare(x[1])) or bare(x[1]).endswith(f) for f in folders)]:
+        _tables.remove(item)
+        _delete(*item)
+
+
 @atexit.register
 def clear() -> None:
-    """Deletes the tables of this driver."""
-    for spark, path in _tables:
-        try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session has ended
-            pass
-    _tables.clear()
+    """Deletes the tables of this driver; DataFrames that read them end with it."""
+    while _tables:
+        _delete(*_tables.pop())

@@ -18,9 +18,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, dealt to all cores where they come in fewer files than there are cores."""
+    """The documents, dealt to all cores, in one order, where they come in fewer files than there are cores."""
     docs, cores = _table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+    return docs.repartition(cores).sortWithinPartitions("doc_id", F.xxhash64("text")) if len(docs.inputFiles()) < cores else docs
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,53 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from quire.sources.staging import drop
+from quire.sources.staging import staged as written
 
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a temporary folder is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        directory = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = directory.get() if directory.isDefined() else f"file://{tempfile.mkdtemp(prefix='quire-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session has ended
-        pass
-
-
-@atexit.register
-def clear() -> None:
-    """Deletes what this driver has written; DataFrames that read it end with it."""
-    while _written:
-        _delete(*_written.pop())
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a Parquet table in the shared folder, which stays until the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the table that ``written`` returned; nothing lazy may still need it."""
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for item in [x for x in _written if any(f.endswith(x[1].split("://")[-1]) or x[1].endswith(f.split("://")[-1]) for f in folders)]:
-        _written.remove(item)
-        _delete(*item)
+__all__ = ["drop", "written"]

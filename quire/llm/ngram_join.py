@@ -31,7 +31,8 @@ from quire.llm.storage import drop, written
 PERCENT = 80
 HOT = 1 << 20
 SHORT = 64
-BLOCK = 512
+#: sets of a block, at most and at least
+BLOCK, LEAST_BLOCK = 512, 64
 FLUSH = 1 << 20
 _U = np.uint64
 
@@ -94,7 +95,7 @@ def _gathered(batches, width: int) -> list[tuple[int, np.ndarray]]:
 
 
 def hot_shingles(texts: DataFrame, parts: int, width: int, short: int = SHORT, most: int = HOT) -> np.ndarray:
-    """Sorted keys of shingles in more than ``short`` sets: the ``most`` most frequent, counted over all rows."""
+    """Sorted keys of shingles in more than ``short`` sets: as many of the most frequent as fit into ``most``, counted over all rows."""
 
     def deal(batches):
         held, size = [], 0
@@ -119,8 +120,18 @@ def hot_shingles(texts: DataFrame, parts: int, width: int, short: int = SHORT, m
             yield pa.RecordBatch.from_arrays([pa.array((keys[starts[often]] | (_U(bucket) << _U(40))).astype(np.int64)), pa.array(sizes[often].astype(np.int64))], names=["key", "sets"])
 
     dealt = texts.mapInArrow(deal, "bucket int, payload binary").repartitionById(parts, F.col("bucket"))
-    counted = dealt.mapInArrow(count, "key long, sets long").orderBy(F.desc("sets"), "key").limit(most)
-    return np.sort(counted.select("key").toArrow().column(0).to_numpy()).astype(_U)  # at most ``most`` numbers
+    counted = written(dealt.mapInArrow(count, "key long, sets long"), "frequent")
+    level = F.floor(F.log2("sets") * 16).cast("int")
+    sizes = {r["level"]: r["count"] for r in counted.groupBy(level.alias("level")).count().collect()}  # a few hundred rows at most
+    least, total = None, 0
+    for at in sorted(sizes, reverse=True):
+        total += sizes[at]
+        if total > most:
+            break
+        least = at
+    if least is None:
+        return np.zeros(0, dtype=_U)
+    return np.sort(counted.where(level >= least).select("key").toArrow().column(0).to_numpy()).astype(_U)  # at most ``most`` numbers
 
 
 def _short_pairs(starts, sizes, sid, n, rank, short: int, percent: int):
@@ -334,7 +345,10 @@ def join_components(docs: DataFrame, width: int = kernels.WIDTH, percent: int =
     families = written(components(candidate_edges(texts, hot, parts, width, percent, short)), "families")
     release(spark)
     sets = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("_id"))
-    sized = families.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    counted = families.groupBy("component").agg(F.count("*").alias("size"))
+    largest = counted.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    block = int(min(block, max(min(block, LEAST_BLOCK), largest / (2 * parts) ** 0.5)))  # so that the largest family gives every partition a pair of blocks
+    sized = counted.select("component", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     members = sets.join(families.withColumnRenamed("node", "set"), "set").join(sized, "component")
     own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     members = members.select("_id", "set", F.col("component").alias("family"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
@@ -344,6 +358,6 @@ def join_components(docs: DataFrame, width: int = kernels.WIDTH, percent: int =
     found = written(components(links), "components")
     drop(families)
     named = rows.where("set is not null").join(found.withColumnRenamed("node", "set"), "set", "left").select("doc_id", "n_shingles", F.coalesce("component", "set").alias("_c"))
-    firsts = named.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
+    firsts = written(named.groupBy("_c").agg(F.min("doc_id").alias("component_id")), "firsts")
     alone = rows.where("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.join(firsts, "_c").select("doc_id", "n_shingles", "component_id").unionByName(alone)

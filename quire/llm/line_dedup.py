@@ -68,9 +68,11 @@ def dedup_lines(docs: DataFrame, seeds: tuple[int, ...] = SEEDS, modulus: int =
     same = F.col(own_id).eqNullSafe(F.col(id_)) & (F.col(own_key) == F.col(row))
     keyed = docs.withColumns({own_id: F.col("doc_id"), own_key: F.xxhash64("doc_id", "text")})
     held = keyed.join(lists.hint("shuffle_hash"), same, "left").drop(id_, row)
-    texts = held.where(F.col(chunks_).isNotNull()).select(F.explode(chunks_).alias("c"), F.split("text", "\n").alias("lines"))
-    texts = texts.select("c.hash", F.array_join(F.slice("lines", F.col("c.first"), F.col("c.last") - F.col("c.first") + 1), "\n").alias("bytes"))
-    unequal = texts.groupBy("hash").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).where("a != b").select("hash")
+    # reads what the result reads of a document, so that both share one shuffle of texts
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    texts = held.where(F.col(chunks_).isNotNull()).select(F.explode(chunks_).alias("c"), F.split("text", "\n").alias("lines"), F.xxhash64(*plain).alias("seen"))
+    texts = texts.select("c.hash", F.array_join(F.slice("lines", F.col("c.first"), F.col("c.last") - F.col("c.first") + 1), "\n").alias("bytes"), "seen")
+    unequal = texts.groupBy("hash").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b"), F.max("seen").alias("seen")).where("a != b and seen is not null").select("hash")
     false = found.join(unequal, "hash", "left_semi").groupBy("doc_id", "row").agg(F.collect_set("hash").alias(false_)).withColumnsRenamed({"doc_id": id_, "row": row})
     held = held.join(false.hint("shuffle_hash"), same, "left").drop(id_, row)
     gone = F.filter(F.coalesce(chunks_, F.array().cast("array<struct<hash:bigint,first:int,last:int,again:boolean>>")), lambda c: c["again"] & ~F.coalesce(F.array_contains(false_, c["hash"]), F.lit(False)))

@@ -57,7 +57,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def choose_pivots(units: DataFrame, e: float, cell: int = CELL, most: int = PIVOTS) -> dict[str, np.ndarray]:
-    """Pivots of each group: those of its ids first by hash that lie farther than e apart, one for ``cell`` vectors."""
+    """Pivots of each group: those of its ids first by hash that lie farther than e apart, one for ``cell`` vectors and one at least."""
     counts = {r["grp"]: r["count"] for r in units.groupBy("grp").count().orderBy(F.desc("count"), "grp").limit(most).collect()}
     scale = max(cell, sum(counts.values()) / max(1, most - len(counts)))
     wanted = {g: max(1, round(n / scale)) for g, n in counts.items()}
@@ -69,7 +69,12 @@ def choose_pivots(units: DataFrame, e: float, cell: int = CELL, most: int = PIVO
         held, v = out.setdefault(r["grp"], []), np.frombuffer(r["unit"], dtype=np.float64)
         if len(held) < wanted[r["grp"]] and all(np.sqrt(max(0.0, 2 - 2 * (v @ p))) > e for p in held):
             held.append(v)
-    return {g: np.stack(v) for g, v in out.items() if v}
+    missed = [(g,) for g in counts if g not in out]  # no row of theirs was drawn
+    if missed:
+        own = units.join(F.broadcast(units.sparkSession.createDataFrame(missed, "g string")), F.col("grp") == F.col("g"))
+        for r in own.groupBy("grp").agg(F.min_by("unit", F.struct(hashed.alias("at"), "vec_id")).alias("unit")).collect():
+            out[r["grp"]] = [np.frombuffer(r["unit"], dtype=np.float64)]
+    return {g: np.stack(v) for g, v in out.items()}
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:

@@ -46,6 +46,45 @@ def test_against_brute_force(spark, cell, block):
     assert got == brute(rows)
 
 
+def by_label(ids, labels, x, cosine=0.93):
+    """vec_id: links and component, label by label in matrices."""
+    out = {}
+    for label in np.unique(labels):
+        own, v = ids[labels == label], x[labels == label]
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        links = v @ v.T >= cosine
+        component, before = own.copy(), None
+        while before is None or (component != before).any():
+            before, component = component, np.where(links, component[None, :], np.iinfo(np.int64).max).min(axis=1)
+        out |= {int(i): (int(n) - 1, int(c)) for i, n, c in zip(own, links.sum(axis=1), component, strict=True)}
+    return out
+
+
+def clustered(labels, dim=8):
+    rng = np.random.default_rng(8)
+    place = np.zeros(len(labels), np.int64)
+    for label in np.unique(labels):
+        place[labels == label] = np.arange((labels == label).sum()) // 4
+    centres = rng.normal(size=(place.max() + 1, dim))
+    return centres[place] + rng.normal(size=(len(labels), dim)) * 0.1
+
+
+def found(spark, labels, x, **how):
+    rows = [(i, v.tolist(), int(label)) for i, (v, label) in enumerate(zip(x, labels, strict=True))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    return {r.vec_id: (r.n_links, r.component_id) for r in ed.near_duplicates(df, **how).collect()}
+
+
+def test_every_label_has_a_pivot(spark):
+    """Labels of 400, 4,000 and 40 vectors; of label 48 no row's hash is among those drawn."""
+    n = np.arange(20_000)
+    labels = np.concatenate([n % 50, np.full(4000, 50), 51 + n[:4000] % 100])
+    x = clustered(labels)
+    got, want = found(spark, labels, x), by_label(np.arange(len(labels)), labels, x)
+    assert sum(want[i][0] for i in n[labels[:20_000] == 48].tolist()) > 0
+    assert got == want
+
+
 def test_empty_and_useless_tables(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert ed.near_duplicates(df).count() == 0

@@ -7,7 +7,9 @@ triangle inequality if its distance to the pivot is at most the cell's radius +
 and by the bisector of the two pivots.  Members within e / 2 of a pivot all link
 with each other, and a vector that is near or far enough links with all or none of these: counted, not
 compared.  The rest of a cell is compared in pairs of blocks, each a task of
-bounded size, so no cell is too large for one task.
+bounded size, so no cell is too large for one task.  Pivots are broadcast, so
+their number is bounded: groups beyond the largest ``PIVOTS`` are one cell each, in
+pairs of blocks, without a pivot.
 """
 
 from __future__ import annotations
@@ -56,9 +58,10 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.float64).reshape(len(values), -1)
 
 
-def choose_pivots(units: DataFrame, e: float, cell: int = CELL, most: int = PIVOTS) -> dict[str, np.ndarray]:
-    """Pivots of each group: those of its ids first by hash that lie farther than e apart, one for ``cell`` vectors and one at least."""
-    counts = {r["grp"]: r["count"] for r in units.groupBy("grp").count().orderBy(F.desc("count"), "grp").limit(most).collect()}
+def choose_pivots(units: DataFrame, e: float, cell: int = CELL, most: int = PIVOTS) -> tuple[dict[str, np.ndarray], bool]:
+    """Pivots of each of the ``most`` largest groups, and whether there are more groups: those of its ids first by hash that lie farther than e apart, one for ``cell`` vectors and one at least."""
+    largest = units.groupBy("grp").count().orderBy(F.desc("count"), "grp").limit(most + 1).collect()
+    counts = {r["grp"]: r["count"] for r in largest[:most]}
     scale = max(cell, sum(counts.values()) / max(1, most - len(counts)))
     wanted = {g: max(1, round(n / scale)) for g, n in counts.items()}
     rate = units.sparkSession.createDataFrame([(g, min(1.0, 4 * k / counts[g])) for g, k in wanted.items()] or [("", 0.0)], "g string, rate double")
@@ -74,7 +77,17 @@ def choose_pivots(units: DataFrame, e: float, cell: int = CELL, most: int = PIVO
         own = units.join(F.broadcast(units.sparkSession.createDataFrame(missed, "g string")), F.col("grp") == F.col("g"))
         for r in own.groupBy("grp").agg(F.min_by("unit", F.struct(hashed.alias("at"), "vec_id")).alias("unit")).collect():
             out[r["grp"]] = [np.frombuffer(r["unit"], dtype=np.float64)]
-    return {g: np.stack(v) for g, v in out.items()}
+    return {g: np.stack(v) for g, v in out.items()}, len(largest) > most
+
+
+def without_pivots(units: DataFrame, groups: list[str], block: int) -> DataFrame:
+    """Rows for the tasks (group, 1, i, j) that compare all blocks of the groups other than ``groups``."""
+    spark = units.sparkSession
+    rest = units.join(F.broadcast(spark.createDataFrame([(g,) for g in groups], "grp string")), "grp", "left_anti")
+    sizes = rest.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int")
+    rows = rest.join(sizes, "grp").select("grp", own.alias("b"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"), "vec_id", "unit")
+    return rows.select(F.col("grp").alias("c"), F.lit(1).alias("kind"), F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"), (F.col("b") > F.col("k")).cast("int").alias("side"), "vec_id", "unit")
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -94,7 +107,7 @@ def block_links(left: np.ndarray, right: np.ndarray | None, cosine: float) -> np
     return out
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, block: int | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, block: int | None = None, most: int = PIVOTS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vec_id.
 
     Vectors that are null, zero, or hold null or non-finite components, and those
@@ -103,7 +116,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
     """
     spark, e = vectors.sparkSession, math.sqrt(2 - 2 * cosine)
     units = written(unit_rows(vectors), "units")
-    pivots = choose_pivots(units, e, cell)
+    pivots, more = choose_pivots(units, e, cell, most)
     names = {g: i for i, g in enumerate(sorted(pivots))}
     first = dict(zip(names, np.cumsum([0, *(len(pivots[g]) for g in names)])[:-1].tolist(), strict=True)) if names else {}
     total = sum(len(p) for p in pivots.values())
@@ -242,6 +255,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
         joined = tasks.repartition("c", "kind", "i", "j", salt).sortWithinPartitions("c", "kind", "i", "j").mapInArrow(linked, "vec_id long, links long, other long")
     else:
         joined = spark.createDataFrame([], "vec_id long, links long, other long")
+    if more:
+        others = without_pivots(units, list(pivots), block)
+        joined = joined.unionByName(others.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(linked, "vec_id long, links long, other long"))
     joined = written(joined, "links")
     links = joined.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     parts_of = written(components(joined.where("vec_id != other").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))), "components")

@@ -85,6 +85,20 @@ def test_every_label_has_a_pivot(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [None, 16])
+def test_groups_beyond_the_pivots(spark, block):
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ed.near_duplicates(df, block=block, most=1).collect()}
+    assert got == brute(rows)
+
+
+def test_more_labels_than_pivots(spark):
+    labels = np.arange(6600) % 2200
+    x = clustered(labels)
+    assert found(spark, labels, x) == by_label(np.arange(len(labels)), labels, x)
+
+
 def test_empty_and_useless_tables(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert ed.near_duplicates(df).count() == 0

@@ -2,7 +2,9 @@
 
 Lines are hashed; a rolling hash over two neighbouring line hashes ends a chunk
 where it falls into one of ``modulus`` classes, so chunks find their boundaries again
-behind inserted or removed lines.  Several seeds cut a text in several ways;
+behind inserted or removed lines.  Several seeds cut a text in several ways.  Every two
+neighbouring lines that are not blank, with the blank ones between, are a chunk as well, which no
+other line decides, so every repeated run of two or more such lines is covered whole;
 a line goes if any of its chunks is a repetition.  A chunk can be removed with two or more
 lines that are not blank; a line of ``long_words`` words or more is cut off from its neighbours and
 counts as a passage.  Of equal chunks, compared byte by byte, the
@@ -34,12 +36,16 @@ def _chunks(lines: Column, seeds: tuple[int, ...], modulus: int, long_words: int
         ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | f[i - 1]["big"] | f[F.least(i, n - 1)]["big"] | (F.pmod(F.xxhash64(F.lit(seed), f[F.greatest(i - 2, F.lit(0))]["h"], f[i - 1]["h"]), F.lit(modulus)) == 0))
         return _let(ends, lambda e: F.transform(e, lambda last, j: F.struct((F.coalesce(F.get(e, j - 1), F.lit(0)) + 1).alias("first"), last.alias("last"))))
 
+    def pairs(f: Column) -> Column:
+        full = F.filter(F.sequence(F.lit(1), F.size(f)), lambda i: f[i - 1]["full"])
+        return _let(full, lambda p: F.transform(F.slice(p, 2, F.size(p)), lambda last, j: F.struct(p[j].alias("first"), last.alias("last"))))
+
     def kept(f: Column, c: Column) -> Column:
         part = F.slice(f, c["first"], c["last"] - c["first"] + 1)
         return F.exists(part, lambda x: x["big"]) | (F.size(F.filter(part, lambda x: x["full"])) >= 2)
 
     def of(f: Column) -> Column:
-        every = F.array_distinct(F.concat(*[cut(f, s) for s in seeds]))
+        every = F.array_distinct(F.concat(pairs(f), *[cut(f, s) for s in seeds]))
         return F.transform(F.filter(every, lambda c: kept(f, c)), lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.xxhash64(F.transform(F.slice(f, c["first"], c["last"] - c["first"] + 1), lambda x: x["h"]), c["last"] - c["first"]).alias("hash")))
 
     return _let(facts, of)

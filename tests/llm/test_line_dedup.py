@@ -58,3 +58,21 @@ def test_blank_and_single_lines_are_left_alone(spark, empty):
     df = spark.createDataFrame([(1, "a\n\n\n\nb"), (2, "c\n\n\n\nd"), (3, "All rights reserved."), (4, "All rights reserved."), (5, None), (6, "")], "doc_id long, text string")
     assert all(r.removed_lines == 0 for r in ld.dedup_lines(df).collect())
     assert ld.dedup_lines(empty).count() == 0
+
+
+def test_short_passages_are_always_found(spark):
+    """Passages of 2 to 5 lines, each in two texts between random lines, some with a blank line inside."""
+    rng = random.Random(5)
+    texts, planted = [], []
+    for k in range(80):
+        passage = [wordy(rng, 14) for _ in range(2 + k % 4)]
+        planted.append(passage)
+        shown = [passage[0], *([""] if k % 8 > 3 else []), *passage[1:]]
+        texts += ["\n".join([wordy(rng, 9) for _ in range(rng.randrange(5))] + shown + [wordy(rng, 9) for _ in range(rng.randrange(5))]) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: r.text.split("\n") for r in ld.dedup_lines(df).collect()}
+    left = {n: sum(any(x in rows[2 * k + 1] for x in p) for k, p in enumerate(planted) if len(p) == n) for n in range(2, 6)}
+    assert left == {2: 0, 3: 0, 4: 0, 5: 0}
+    assert all(x in rows[2 * k] for k, p in enumerate(planted) for x in p)
+    shared = {x for p in planted for x in p} | {""}
+    assert all(x in rows[i] for i, t in enumerate(texts) for x in t.split("\n") if x not in shared)

@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled texts:
-one on ordinary text, one on what toxic text has of its own (words
-around strings much more frequent in toxic texts, the most frequent nearest to the window).  Every window of a text
-is compressed with the ordinary dictionary and with both; the bytes saved say
-how far the window is from ordinary and how near to toxic text.  Counts of
-windows above thresholds of saved bytes make the score, by a logistic regression that is
+Two zstandard dictionaries are trained on a bounded sample of labelled texts.  The ordinary one is made
+by the library's trainer from windows of ordinary texts.  The toxic one continues it with what the trainer makes of the words
+that toxic texts have of their own (words around byte strings much more frequent there), so that the two
+differ by toxic text alone: separate dictionaries of whole texts differ mostly by the ordinary passages that
+each happens to hold.  Both keep the ordinary one's entropy tables.  Every window of a text is compressed with both;
+a window is toxic to the degree that the toxic dictionary makes it shorter.  Counts of
+windows at and above thresholds of saved bytes make the score, by a logistic regression that is
 calibrated to the labels' proportion.
 """
 
@@ -13,28 +14,30 @@ from __future__ import annotations
 
 import dataclasses
 import functools
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.storage import written
+
 WINDOW = 64
 OVERLAP = 8
 LEVEL = 3
-THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
-GRAMS = (5, 7, 9)
+THRESHOLDS = (1, 2, 3, 4, 5, 6, 8, 10)
+GRAMS = (5, 7)
 RATIO = 10.0
 #: toxic texts that must hold a string of their own: so many and this share
-LEAST, LEAST_SHARE = 4, 0.04
-ORDINARY_BYTES = 16384
-TOXIC_BYTES = 512
-#: bounds of the labelled sample: texts of each class, and code points of a text that is used for fitting
-SAMPLE = 4000
-SAMPLE_CHARS = 65536
+LEAST, LEAST_SHARE = 4, 0.03
+ORDINARY_BYTES, TOXIC_BYTES = 16384, 2048
+#: of the trainer: bytes of a segment, in the ordinary and the toxic dictionary, and of the strings it counts
+SEGMENT, TOXIC_SEGMENT, STRING = 64, 24, 6
+#: bounds of the labelled sample: texts of each class, windows and words that the trainer reads
+SAMPLE, TRAINER_WINDOWS, TRAINER_BYTES, TRAINER_WORDS = 4000, 16384, 200, 20000
 FOLDS = 5
 SEED = 5
 
@@ -50,16 +53,20 @@ class Model:
 def _compressors(ordinary: bytes, toxic: bytes):
     out = []
     for content in (ordinary, ordinary + toxic):
-        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held = zstandard.ZstdCompressionDict(content)  # a trained one with its tables, as they lead the content
         held.precompute_compress(level=LEVEL)
         out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
     return out
 
 
+def _bytes(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace")
+
+
 def saved_bytes(text: str, ordinary: bytes, toxic: bytes) -> np.ndarray:
-    """Of every window, bytes saved by the toxic dictionary."""
+    """Of every window, bytes by which the toxic dictionary makes it shorter than the ordinary one."""
     plain, both = _compressors(ordinary, toxic)
-    data = text.lower().encode("utf-8", "replace")
+    data = _bytes(text)
     return np.array([len(plain.compress(w)) - len(both.compress(w)) for w in (data[max(0, i - OVERLAP) : i + WINDOW] for i in range(0, max(1, len(data)), WINDOW))], dtype=float)
 
 
@@ -69,48 +76,43 @@ def features(text: str, ordinary: bytes, toxic: bytes) -> np.ndarray:
     return np.concatenate([[1.0], np.log1p(above), above / len(saved) * 10, [saved.max(), saved.mean()]])
 
 
-def _padded(word: str) -> bytes:
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The library's dictionary of the samples; their bytes where they are too few for its trainer."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=STRING).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def trainer_windows(text: str) -> list[bytes]:
+    """Windows of a whole text that the trainer may read."""
+    data = _bytes(text)
+    return [data[i : i + TRAINER_BYTES] for i in range(0, len(data), TRAINER_BYTES) if len(data) - i >= 8]
+
+
+def window_rank(window: bytes) -> int:
+    """Order of which windows are read: a hash, so that they are spread over all texts."""
+    return xxhash.xxh3_64_intdigest(window, seed=SEED) >> 1
+
+
+def padded(word: str) -> bytes:
     return f" {word} ".encode("utf-8", "replace")
 
 
-def _counted(texts: list[str], of: set[bytes] | None = None) -> tuple[Counter, Counter]:
-    """Texts that hold each word; and, summed over words, those with each string of GRAMS bytes in a word, or of those in ``of``."""
-    words = Counter(w for t in texts for w in set(t.lower().split()))
-    grams: Counter[bytes] = Counter()
-    for word, n in words.items():
-        data = _padded(word)
-        for size in GRAMS:
-            for g in {data[i : i + size] for i in range(len(data) - size + 1)}:
-                if of is None or g in of:
-                    grams[g] += n
-    return words, grams
+def strings(word: str) -> set[bytes]:
+    """The byte strings of GRAMS bytes in a word."""
+    data = padded(word)
+    return {data[i : i + n] for n in GRAMS for i in range(len(data) - n + 1)}
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples: their bytes are the dictionary
-        return b"".join(samples)[-size:]
+def toxic_samples(words: list[tuple[str, int]]) -> list[bytes]:
+    """What the trainer reads of (word, toxic texts that hold it): each word as often, in proportion where they are too many."""
+    words = sorted(words, key=lambda w: (-w[1], w[0]))[:TRAINER_WORDS]
+    scale = min(1.0, TRAINER_WORDS / max(1, sum(n for _, n in words)))
+    return [padded(w) for w, n in words for _ in range(max(1, round(n * scale)))]
 
 
-def _own_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Words around byte strings much more frequent in toxic texts; those that most texts hold last."""
-    words, in_toxic = _counted(toxic)
-    least = max(LEAST, LEAST_SHARE * len(toxic))
-    in_toxic = Counter({g: n for g, n in in_toxic.items() if n >= least})
-    in_ordinary = _counted(ordinary, set(in_toxic))[1]
-    own = {g for g, n in in_toxic.items() if n / len(toxic) > RATIO * (in_ordinary[g] + 0.5) / max(1, len(ordinary))}
-    forms = [(n, w) for n, w in sorted((n, _padded(w)) for w, n in words.items()) if n >= LEAST and any(w[i : i + size] in own for size in GRAMS for i in range(len(w) - size + 1))]
-    cores = Counter({w: max((in_toxic[w[i : i + GRAMS[0]]], w[i : i + GRAMS[0]]) for i in range(len(w) - GRAMS[0] + 1) if any(w[i : i + size] in own for size in GRAMS)) for _, w in forms})
-    stems: dict[bytes, list[tuple[int, bytes]]] = {}
-    for n, w in forms:
-        stems.setdefault(cores[w][1], []).append((n, w))
-    # each stem's most frequent words, stems in turn, so that no stem with many endings crowds out the rest
-    turns = max(map(len, stems.values()), default=0)
-    return [w for k in range(turns - 1, -1, -1) for _, _, w in sorted((sum(n for n, _ in held), held[-1 - k][0], held[-1 - k][1]) for held in stems.values() if len(held) > k)]
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
     ridge[0, 0] = 1e-6
     for _ in range(60):
@@ -122,19 +124,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> Model:
-    """share: of label 1 among all labelled rows, if it isn't the sample's."""
-    if not toxic or not ordinary:
-        return Model(b" ", b" ", (30.0 if toxic else -30.0,))
-    windows = [w for t in ordinary for w in (lambda d: [d[i : i + 200] for i in range(0, len(d), 200)])(t.lower().encode("utf-8", "replace")) if len(w) >= 8]
-    keep = np.random.default_rng(SEED).permutation(len(windows))[:16384]
-    common = _trained([windows[i] for i in sorted(keep)], ORDINARY_BYTES) or b" "
-    own = b"".join(w[:-1] for w in _own_words(toxic, ordinary))[-TOXIC_BYTES:] + b" "
-    x = np.array([features(t, common, own) for t in [*toxic, *ordinary]])
-    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    share = share if share else len(toxic) / len(y)
-    weight = np.where(y == 1, share * len(y) / len(toxic), (1 - share) * len(y) / len(ordinary))
-    return Model(common, own, tuple(_logistic(x, y, weight)))
+def calibrated(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, ...]:
+    """Weights of the features; share: of label 1 among all labelled rows, which may not be the sample's."""
+    ones = y.sum()
+    return tuple(logistic(x, y, np.where(y == 1, share * len(y) / ones, (1 - share) * len(y) / (len(y) - ones))).tolist())
 
 
 def score(text: str, model: Model) -> float:
@@ -148,22 +141,82 @@ def held_out(doc_id: Column, folds: int = FOLDS, fold: int = 0) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def _ordinary_dictionary(texts: DataFrame) -> bytes:
+    def windows(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = trainer_windows(text)
+                yield pa.RecordBatch.from_arrays([pa.array([window_rank(w) for w in found], type=pa.int64()), pa.array(found, type=pa.binary())], names=["rank", "part"])
+
+    some = texts.where("toxic = 0").select("text").mapInArrow(windows, "rank long, part binary").orderBy("rank", "part").limit(TRAINER_WINDOWS)
+    return trained([bytes(r["part"]) for r in some.collect()], ORDINARY_BYTES, SEGMENT) or b" "
+
+
+def _toxic_dictionary(texts: DataFrame, n_toxic: int, n_ordinary: int) -> bytes:
+    """From the words around strings that are ``RATIO`` times as frequent in toxic texts."""
+
+    def words_of(batches):
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = list(set(text.lower().split()))
+                yield pa.RecordBatch.from_arrays([pa.array(words, type=pa.string()), pa.array([toxic] * len(words), type=pa.int32())], names=["word", "toxic"])
+
+    def strings_of(batches):
+        for batch in batches:
+            words, ones, zeros = (batch.column(i).to_pylist() for i in range(3))
+            found = [(g, n, m) for w, n, m in zip(words, ones, zeros, strict=True) for g in strings(w)]
+            for i in range(0, len(found), 65536):
+                part = found[i : i + 65536]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in part], type=t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["string", "ones", "zeros"])
+
+    held = texts.select("toxic", "text").mapInArrow(words_of, "word string, toxic int")
+    words = written(held.groupBy("word").agg(F.sum(F.col("toxic")).cast("long").alias("ones"), F.sum(1 - F.col("toxic")).cast("long").alias("zeros")), "toxic-words")
+    counted = words.mapInArrow(strings_of, "string binary, ones long, zeros long").groupBy("string").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    often = F.col("ones") >= max(LEAST, LEAST_SHARE * n_toxic)
+    own = {bytes(r["string"]) for r in counted.where(often & (F.col("ones") / n_toxic > RATIO * (F.col("zeros") + 0.5) / n_ordinary)).select("string").collect()}  # few, as each is in a share of the texts
+
+    def around(batches):
+        for batch in batches:
+            keep = [not own.isdisjoint(strings(w)) for w in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    found = words.where("ones > 0").select("word", "ones").mapInArrow(around, "word string, ones long").orderBy(F.desc("ones"), "word").limit(TRAINER_WORDS)
+    return trained(toxic_samples([(r["word"], r["ones"]) for r in found.collect()]), TOXIC_BYTES, TOXIC_SEGMENT) or b" "
+
+
+def fit(texts: DataFrame, share: float) -> Model:
+    """The model of a table (toxic 0 or 1, text) of few rows, whose texts may be of any length: they never meet in one task or the driver."""
+    n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if not n.get(0) or not n.get(1):
+        return Model(b" ", b" ", (30.0 if n.get(1) else -30.0,))
+    ordinary, toxic = _ordinary_dictionary(texts), _toxic_dictionary(texts, n[1], n[0])
+
+    def measured(batches):
+        for batch in batches:
+            found = [features(t, ordinary, toxic).tolist() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    rows = sorted((r["toxic"], r["x"]) for r in texts.select("toxic", "text").mapInArrow(measured, "toxic int, x array<double>").collect())
+    return Model(ordinary, toxic, calibrated(np.array([x for _, x in rows]), np.array([float(t) for t, _ in rows]), share))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of the labelled rows that are not held out.
 
-    Of each class the ``sample`` ids first by md5 are used, and of their texts
-    ``SAMPLE_CHARS`` code points; the classes' proportion comes from all labels.
+    Of each class the ``sample`` ids first by md5 are used, with their whole texts (of rows that repeat an
+    id the first text); the classes' proportion comes from all labels.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    if not total:
+        return Model(b" ", b" ", (-30.0,))
     by = [F.md5(F.concat(F.lit(f"{SEED}:"), F.col("doc_id").cast("string"))), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*by).limit(sample).unionByName(known.where("toxic = 0").orderBy(*by).limit(sample))
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen.collect()], "_id long, toxic int")  # at most 2 * sample ids
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
-    held = texts.toPandas().sort_values(["doc_id", "text"]) if total else None
-    if held is None:
-        return fit([], [])
-    return fit(held.text[held.toxic == 1].tolist(), held.text[held.toxic == 0].tolist(), total.get(1, 0) / sum(total.values()))
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    parts = docs.sparkSession.sparkContext.defaultParallelism
+    held = texts.groupBy("_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).repartition(parts, "_id")
+    return fit(written(held.select("toxic", "text"), "labelled"), total.get(1, 0) / sum(total.values()))
 
 
 def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), names: tuple[str, str, str] = ("doc_id", "score", "predicted")) -> DataFrame:

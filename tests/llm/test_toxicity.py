@@ -1,6 +1,9 @@
 import random
 import zlib
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import toxicity as tx
@@ -39,8 +42,46 @@ def test_held_out_labels_and_other_columns_do_not_matter(spark):
     assert tx.train(df, labels) == tx.train(df.repartition(7), flipped)
 
 
+def plainly(rows, share):
+    """The model and scores of (text, toxic) in memory, step by step."""
+    toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
+    windows = sorted((tx.window_rank(w), w) for t in ordinary for w in tx.trainer_windows(t))[: tx.TRAINER_WINDOWS]
+    common = tx.trained([w for _, w in windows], tx.ORDINARY_BYTES, tx.SEGMENT) or b" "
+    words = [Counter(w for t in texts for w in set(t.lower().split())) for texts in (toxic, ordinary)]
+    grams = [Counter(), Counter()]
+    for found, of in zip(grams, words, strict=True):
+        for w, n in of.items():
+            for g in tx.strings(w):
+                found[g] += n
+    own = {g for g, n in grams[0].items() if n >= max(tx.LEAST, tx.LEAST_SHARE * len(toxic)) and n / len(toxic) > tx.RATIO * (grams[1][g] + 0.5) / len(ordinary)}
+    bad = tx.trained(tx.toxic_samples([(w, n) for w, n in words[0].items() if tx.strings(w) & own]), tx.TOXIC_BYTES, tx.TOXIC_SEGMENT) or b" "
+    x = np.array([tx.features(t, common, bad) for t, _ in rows])
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][1], x[i].tolist()))
+    return tx.Model(common, bad, tx.calibrated(x[order], np.array([float(rows[i][1]) for i in order]), share))
+
+
+def test_model_and_scores_are_those_of_a_plain_version(spark):
+    rows = corpus(400, 6)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    model = tx.train(df, df.select("doc_id", "toxic"))
+    seen = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    want = plainly(seen, sum(y for _, y in seen) / len(seen))
+    assert (model.ordinary, model.toxic) == (want.ordinary, want.toxic) and model.weights == pytest.approx(want.weights)
+    for r in tx.score_documents(df, model, keep=("text",)).collect():
+        assert r.score == pytest.approx(tx.score(r.text, want)) and r.predicted == (r.score >= 0.5)
+
+
+def test_dictionaries_come_from_the_trainer_and_long_texts_teach_to_their_end(spark):
+    rows = corpus(400, 7)
+    late = [(i, ("x y z " * 20000 + t) if y else t, y) for i, t, y in rows]
+    df = spark.createDataFrame(late, "doc_id long, text string, toxic int").repartition(5)
+    model = tx.train(df, df.select("doc_id", "toxic"))
+    magic = (0xEC30A437).to_bytes(4, "little")
+    assert model.ordinary[:4] == magic and any(w.encode() in model.toxic for w in BAD)
+
+
 def test_edge_cases(spark, messy, messy_rows, empty):
-    model = tx.fit([r[1] for r in corpus(60, 5) if r[2]], [r[1] for r in corpus(60, 5) if not r[2]])
+    model = tx.fit(spark.createDataFrame([(y, t) for _, t, y in corpus(60, 5)], "toxic int, text string"), 0.2)
     out = tx.score_documents(messy, model, keep=("text",)).collect()
     assert len(out) == len(messy_rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
     assert len({r.score for r in out if not r.text}) == 1

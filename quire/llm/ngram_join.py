@@ -3,21 +3,25 @@
 Two sets of sizes a and b link when 100 * common >= 80 * union.  Exact and complete:
 
 1. Sets are hashed; equal sets are one set from here on.
-2. All shingles are counted, in buckets of their hashes.  At most ``HOT`` of the most frequent
-   (a bound on what is broadcast) come last in the global order of shingles; the rest stand in hash order.
-3. A set posts its prefix: its first a - ceil(0.8 a) + 1 shingles; two sets
-   that link share one of these.  Index lists hold (size, set, position), sorted
-   by size; entries of incompatible sizes or positions are skipped.
+2. All shingles are counted, in buckets of their hashes, and each chunk of texts gets its shingles' counts
+   back as levels.  The global order of shingles is by level, then by hash: rare ones first, without a bound on how many are frequent.
+3. A set posts its prefix: its first a - ceil(0.8 a) + 1 shingles, but for those that no other set has; two sets
+   that link share one of these.  Index lists hold (size, position, set), sorted so, in blocks of
+   equal size.  Of each block a set meets just the positions with which the overlap can still be reached: blocks of
+   other sizes and all other positions are skipped, no pair is made of them.
    Short lists give pairs, counted over all lists; a pair whose count cannot
    reach the overlap any more goes.  Longer lists only chain neighbours of compatible sizes.
-4. Families, the components of what is left, are compared set by set, a large one in
-   blocks.  A set's overlaps with a block derive from those of the set before,
+4. Families, the components of what is left, are compared in blocks of compatible sizes.  Every block is compared
+   with itself and with a few sets of the family; only sets that are still outside the family's largest
+   part then meet the other blocks.  A set's overlaps with a block derive from those of the set before,
    by their difference, wherever it is the smaller; only links that join trees leave a task.
 5. Components of links, mapped back to documents.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,11 +33,12 @@ from quire.llm.components import Forest, components, release
 from quire.llm.storage import drop, written
 
 PERCENT = 80
-HOT = 1 << 20
+#: entries of a list that gives pairs
 SHORT = 64
-#: sets of a block, at most and at least
-BLOCK, LEAST_BLOCK = 512, 64
-FLUSH = 1 << 20
+#: sets of a block, at most and at least; sets of each size class of a family that all its blocks are compared with
+BLOCK, LEAST_BLOCK, CENTRES = 512, 64, 4
+#: bytes of texts in a chunk; shingles in a bucket, which decides how many buckets there are
+CHUNK, BUCKET = 3 << 20, 1 << 22
 _U = np.uint64
 
 
@@ -51,19 +56,19 @@ def prefix_length(n, percent: int = PERCENT):
     return n + (-percent * n // 100) + 1
 
 
-def _bucket(values: np.ndarray, parts: int) -> np.ndarray:
-    return ((values >> _U(32)) * _U(parts)) >> _U(32)
+def bucket_of(values: np.ndarray, parts: int) -> np.ndarray:
+    """Bucket of a shingle, by a second hash, as prefixes hold the smallest of the first."""
+    return ((kernels.mix(values ^ _U(0x9E3779B97F4A7C15)) >> _U(32)) * _U(parts)) >> _U(32)
 
 
-def _key(values: np.ndarray, parts: int) -> np.ndarray:
-    """Bucket and lowest 40 bits: what shingles are counted by.  A collision only moves a shingle in the order."""
-    return (_bucket(values, parts) << _U(40)) | (values & _U((1 << 40) - 1))
+def _order(bucket: np.ndarray, parts: int) -> np.ndarray:
+    return np.argsort(bucket.astype(np.uint16) if parts <= 65536 else bucket, kind="stable")
 
 
 def _dealt(values: np.ndarray, fields: list[np.ndarray], parts: int):
     """(bucket, bytes) of the rows of ``fields`` in each bucket of values."""
-    bucket = _bucket(values, parts)
-    order = np.argsort(bucket.astype(np.uint16) if parts <= 65536 else bucket, kind="stable")
+    bucket = bucket_of(values, parts)
+    order = _order(bucket, parts)
     table = np.concatenate([f[order] for f in fields], axis=1)
     ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=parts))
     for b in np.flatnonzero(np.diff(ends, prepend=0)):
@@ -81,122 +86,183 @@ def _numbers(table: np.ndarray, at: int, width: int, dtype) -> np.ndarray:
     return out.view(dtype).ravel()
 
 
+MESSAGE = "bucket int, chunk long, payload binary"
+
+
 def _emit(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], type=pa.int32()), pa.array([x for _, x in rows], type=pa.binary())], names=["bucket", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "chunk", "payload"])
 
 
-def _gathered(batches, width: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, its rows) of every bucket in a partition."""
-    parts: dict[int, list[np.ndarray]] = {}
+def chunks(batches, limit: int):
+    """(chunk, its texts) of about ``limit`` bytes; columns: number of the partition, text.  A row's chunk depends only on the rows before it in its partition."""
+    held, size, number, part = [], 0, 0, 0
     for batch in batches:
-        for bucket, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            parts.setdefault(bucket, []).append(np.frombuffer(x, dtype=np.uint8))
-    return [(bucket, np.concatenate(parts.pop(bucket)).reshape(-1, width)) for bucket in list(parts)]
+        if not batch.num_rows:
+            continue
+        part, texts = batch.column(0)[0].as_py(), batch.column(1)
+        sizes = np.array([0 if n is None else n for n in pa.compute.binary_length(texts).to_pylist()], dtype=np.int64)
+        at = 0
+        while at < len(sizes):
+            total = size + np.cumsum(sizes[at:])
+            full = int(np.searchsorted(total, limit))
+            to = min(len(sizes), at + full + 1)
+            held.append(texts.slice(at, to - at))
+            size, at = int(total[to - at - 1]), to
+            if size >= limit:
+                yield (part << 32) + number, pa.concat_arrays(held)
+                held, size, number = [], 0, number + 1
+    if held:
+        yield (part << 32) + number, pa.concat_arrays(held)
+
+
+def chunk_sets(texts: pa.Array, width: int) -> dict[int, np.ndarray]:
+    """The different sets of a chunk by identity, without empty ones, in order."""
+    out: dict[int, np.ndarray] = {}
+    for _, s in kernels.shingles(texts, width):
+        if len(s):
+            s = kernels.distinct(s)
+            out.setdefault(set_id(s), s)
+    return out
 
 
-def hot_shingles(texts: DataFrame, parts: int, width: int, short: int = SHORT, most: int = HOT) -> np.ndarray:
-    """Sorted keys of shingles in more than ``short`` sets: as many of the most frequent as fit into ``most``, counted over all rows."""
+def shingle_levels(texts: DataFrame, parts: int, width: int, limit: int = CHUNK) -> DataFrame:
+    """(bucket, chunk, payload): level of each shingle of a chunk's sets that is in the bucket, in order; texts: part, text.
+
+    A level grows with the logarithm of the number of sets; 0: no other set has it.  A bucket whose shingles are all
+    at 0 sends nothing.  A collision only moves a shingle in the order, everywhere alike.
+    """
 
     def deal(batches):
-        held, size = [], 0
-        for batch in batches:
-            for _, s in kernels.shingles(batch.column(0), width):
-                held.append(kernels.distinct(s))
-                size += len(s)
-                if size >= FLUSH:
-                    every = np.concatenate(held)
-                    yield _emit(list(_dealt(every, [_bytes(every, 5)], parts)))
-                    held, size = [], 0
-        if size:
-            every = np.concatenate(held)
-            yield _emit(list(_dealt(every, [_bytes(every, 5)], parts)))
+        for chunk, some in chunks(batches, limit):
+            sets = chunk_sets(some, width)
+            if sets:
+                every = np.concatenate(list(sets.values()))
+                yield _emit([(b, chunk, x) for b, x in _dealt(every, [_bytes(every, 5)], parts)])
 
     def count(batches):
-        for bucket, table in _gathered(batches, 5):
-            keys = np.sort(_numbers(table, 0, 5, "<u8"))
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            sizes = np.diff(np.r_[starts, len(keys)])
-            often = np.flatnonzero(sizes > short)
-            yield pa.RecordBatch.from_arrays([pa.array((keys[starts[often]] | (_U(bucket) << _U(40))).astype(np.int64)), pa.array(sizes[often].astype(np.int64))], names=["key", "sets"])
-
-    dealt = texts.mapInArrow(deal, "bucket int, payload binary").repartitionById(parts, F.col("bucket"))
-    counted = written(dealt.mapInArrow(count, "key long, sets long"), "frequent")
-    level = F.floor(F.log2("sets") * 16).cast("int")
-    sizes = {r["level"]: r["count"] for r in counted.groupBy(level.alias("level")).count().collect()}  # a few hundred rows at most
-    least, total = None, 0
-    for at in sorted(sizes, reverse=True):
-        total += sizes[at]
-        if total > most:
-            break
-        least = at
-    if least is None:
-        return np.zeros(0, dtype=_U)
-    return np.sort(counted.where(level >= least).select("key").toArrow().column(0).to_numpy()).astype(_U)  # at most ``most`` numbers
-
-
-def _short_pairs(starts, sizes, sid, n, rank, short: int, percent: int):
-    """Positions (i, j), i before j, of compatible entries of one list, over all lists of 2 to ``short`` entries."""
-    for size in np.unique(sizes[(sizes >= 2) & (sizes <= short)]):
-        at = starts[sizes == size]
-        i, j = np.triu_indices(int(size), 1)
-        step = max(1, (1 << 19) // len(i))
-        for lo in range(0, len(at), step):
-            x, y = (at[lo : lo + step, None] + i).ravel(), (at[lo : lo + step, None] + j).ravel()
-            fits = (100 * n[x] >= percent * n[y]) & (1 + np.minimum(n[x] - rank[x] - 1, n[y] - rank[y] - 1) + np.minimum(rank[x], rank[y]) >= least_overlap(n[x] + n[y], percent))
-            yield x[fits], y[fits]
-
-
-def candidate_edges(texts: DataFrame, hot: np.ndarray, parts: int, width: int, percent: int = PERCENT, short: int = SHORT) -> DataFrame:
-    """(a, b) of set ids that may link, or that chain sets which may."""
-    shared = texts.sparkSession.sparkContext.broadcast(hot)  # at most HOT keys
+        held: dict[int, list] = {}
+        for batch in batches:
+            for bucket, chunk, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                held.setdefault(bucket, []).append((chunk, x))
+        for bucket in list(held):
+            some = held.pop(bucket)
+            keys = _numbers(np.frombuffer(b"".join(x for _, x in some), dtype=np.uint8).reshape(-1, 5), 0, 5, "<u8")
+            order = np.argsort(keys, kind="stable")
+            new = np.r_[True, np.diff(keys[order]) != 0]
+            sizes = np.diff(np.r_[np.flatnonzero(new), len(keys)])
+            levels = np.empty(len(keys), dtype=np.uint8)
+            levels[order] = np.repeat(np.minimum(255, np.ceil(8 * np.log2(sizes))).astype(np.uint8), sizes)
+            at = 0
+            for chunk, x in some:
+                mine = levels[at : at + len(x) // 5]
+                at += len(mine)
+                if mine.any():
+                    yield _emit([(bucket, chunk, mine.tobytes())])
+
+    return texts.mapInArrow(deal, MESSAGE).repartitionById(parts, F.col("bucket")).mapInArrow(count, MESSAGE)
+
+
+def postings(texts: DataFrame, parts: int, width: int, percent: int = PERCENT, limit: int = CHUNK) -> DataFrame:
+    """(bucket, chunk, payload): prefixes of the sets, each entry its shingle, set, size and position."""
+
+    def carried(batches):
+        for chunk, some in chunks(batches, limit):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([("text", some.type)])) as writer:
+                writer.write_batch(pa.RecordBatch.from_arrays([some], names=["text"]))
+            yield _emit([(-1, chunk, sink.getvalue().to_pybytes())])
 
     def post(batches):
-        late, seen, held, size = shared.value, set(), [], 0
-
-        def flush():
-            every = np.concatenate([h[0] for h in held])
+        now, some, levels = None, None, {}
+
+        def posted():
+            sets = chunk_sets(pa.ipc.open_stream(some).read_all().column(0).combine_chunks(), width)
+            if not levels or not sets:
+                return []
+            every = np.concatenate(list(sets.values()))
+            bucket = bucket_of(every, parts)
+            order, level = _order(bucket, parts), np.zeros(len(every), dtype=np.uint8)
+            starts = np.r_[0, np.cumsum(np.bincount(bucket.astype(np.int64), minlength=parts))]
+            for b, x in levels.items():
+                level[order[starts[b] : starts[b + 1]]] = np.frombuffer(x, dtype=np.uint8)  # of equal length, or the chunks differ
+            held, at = [], 0
+            for name, s in sets.items():
+                own, at = level[at : at + len(s)], at + len(s)
+                first = np.argsort(own, kind="stable")[: prefix_length(len(s), percent)]
+                rank = np.flatnonzero(own[first])
+                held.append((s[first[rank]], rank.astype(np.uint32), name, len(s)))
             count = [len(h[0]) for h in held]
-            sid = np.repeat(np.array([h[1] for h in held], dtype=np.int64), count)
-            n = np.repeat(np.array([h[2] for h in held], dtype=np.uint32), count)
-            rank = np.concatenate([np.arange(c, dtype=np.uint32) for c in count])
-            return _emit(list(_dealt(every, [_bytes(every, 6), _bytes(sid, 8), _bytes(n, 4), _bytes(rank, 4)], parts)))
+            shingle = np.concatenate([h[0] for h in held])
+            sid = np.repeat(np.array([h[2] for h in held], dtype=np.int64), count)
+            n = np.repeat(np.array([h[3] for h in held], dtype=np.uint32), count)
+            return _dealt(shingle, [_bytes(shingle, 6), _bytes(sid, 8), _bytes(n, 4), _bytes(np.concatenate([h[1] for h in held]), 4)], parts) if len(shingle) else []
 
         for batch in batches:
-            for _, s in kernels.shingles(batch.column(0), width):
-                if not len(s):
-                    continue
-                s = kernels.distinct(s)
-                name = set_id(s)
-                if name in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(name)
-                length = prefix_length(len(s), percent)
-                if len(late):
-                    key = _key(s, parts)
-                    is_late = late[np.minimum(np.searchsorted(late, key), len(late) - 1)] == key
-                    first = s[~is_late][:length]
-                    if len(first) < length:
-                        first = np.concatenate([first, s[is_late][: length - len(first)]])
+            for bucket, chunk, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if chunk != now:
+                    if now is not None and (out := [(b, 0, p) for b, p in posted()]):
+                        yield _emit(out)
+                    now, some, levels = chunk, None, {}
+                if bucket < 0:
+                    some = x
                 else:
-                    first = s[:length]
-                held.append((first, name, len(s)))
-                size += len(first)
-                if size >= FLUSH // 2:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+                    levels[bucket] = x
+        if now is not None and (out := [(b, 0, p) for b, p in posted()]):
+            yield _emit(out)
+
+    met = texts.mapInArrow(carried, MESSAGE).unionByName(shingle_levels(texts, parts, width, limit))
+    return met.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(post, MESSAGE)
+
+
+def compatible_pairs(starts, sizes, n, rank, short: int, percent: int):
+    """Positions (x, y), x before y, of entries of one list that may link, over all lists of 2 to ``short`` entries sorted by (n, rank).
+
+    A list's entries of one size are a block; of each block an entry meets one range of positions, or none of it.
+    """
+    some = (sizes >= 2) & (sizes <= short)
+    if not some.any():
+        return
+    starts, sizes = starts[some], sizes[some]
+    y = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    n, rank = n[y], rank[y]
+    new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (n[1:] != n[:-1])])
+    block = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(y)]))
+    by_size, by_rank = (which[new] << 32) + n[new], (block << 32) + rank
+    lowest = np.searchsorted(by_size, (which << 32) + -(-percent * n // 100))
+    meets = block - lowest + 1
+    step = max(1, int(np.searchsorted(np.cumsum(meets), 1 << 18)))
+    for lo in range(0, len(y), step):
+        e = np.arange(lo, min(len(y), lo + step))
+        own = np.repeat(e, meets[e])
+        b = np.arange(len(own)) - np.repeat(np.cumsum(meets[e]) - meets[e] - lowest[e], meets[e])
+        nx, ny, ry = n[new[b]], n[own], rank[own]
+        need = least_overlap(nx + ny, percent)
+        first = np.searchsorted(by_rank, (b << 32) + np.maximum(0, need - ny + ry))
+        last = np.minimum(np.searchsorted(by_rank, (b << 32) + nx + ry - need, side="right"), own)
+        found = np.flatnonzero(last > first)
+        first, count, own = first[found], (last - first)[found], own[found]
+        for part in np.array_split(np.arange(len(found)), max(1, int(count.sum()) >> 19)):
+            c = count[part]
+            x = np.arange(int(c.sum())) + np.repeat(first[part] - (np.cumsum(c) - c), c)
+            yield y[x], y[np.repeat(own[part], c)]
+
+
+def candidate_edges(texts: DataFrame, parts: int, width: int, percent: int = PERCENT, short: int = SHORT, limit: int = CHUNK) -> DataFrame:
+    """(a, b) of set ids that may link, or that chain sets which may; texts: part, text."""
 
     def index(batches):
-        for _, table in _gathered(batches, 22):
-            yield from listed(table)
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held.setdefault(bucket, []).append(x)
+        for bucket in list(held):
+            yield from listed(np.frombuffer(b"".join(held.pop(bucket)), dtype=np.uint8).reshape(-1, 22))
 
     def listed(table):
         key, sid = _numbers(table, 0, 6, "<u8"), _numbers(table, 6, 8, "<i8")
         n, rank = _numbers(table, 14, 4, "<u4").astype(np.int64), _numbers(table, 18, 4, "<u4").astype(np.int64)
-        order = np.lexsort((sid, n, key))
+        order = np.lexsort((sid, rank, n, key))
         key, sid, n, rank = key[order], sid[order], n[order], rank[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])]
         key, sid, n, rank = key[new], sid[new], n[new], rank[new]
@@ -208,8 +274,9 @@ def candidate_edges(texts: DataFrame, hot: np.ndarray, parts: int, width: int, p
             flip = sid[x] > sid[y]
             return pa.RecordBatch.from_arrays([pa.array(v) for v in (low, high, np.where(flip, n[y], n[x]), np.where(flip, n[x], n[y]), count)], names=["a", "b", "na", "nb", "common"])
 
-        held = list(_short_pairs(starts, sizes, sid, n, rank, short, percent))
-        if held:
+        held, size = [], 0
+
+        def counted():
             x, y = (np.concatenate(v) for v in zip(*held, strict=True))
             order = np.lexsort((sid[y], sid[x]))
             x, y = x[order], y[order]
@@ -217,16 +284,25 @@ def candidate_edges(texts: DataFrame, hot: np.ndarray, parts: int, width: int, p
             count = np.diff(np.r_[first, len(x)]).astype(np.int64)
             for lo in range(0, len(first), 65536):
                 yield out(x[first[lo : lo + 65536]], y[first[lo : lo + 65536]], count[lo : lo + 65536])
+
+        for x, y in compatible_pairs(starts, sizes, n, rank, short, percent):
+            flip = sid[x] > sid[y]
+            held.append((np.where(flip, y, x), np.where(flip, x, y)))
+            size += len(x)
+            if size >= 1 << 21:
+                yield from counted()
+                held, size = [], 0
+        if held:
+            yield from counted()
         long = np.repeat(sizes > short, sizes)
         x = np.flatnonzero(long[:-1] & (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:]))
         if len(x):
             a, b = np.minimum(sid[x], sid[x + 1]), np.maximum(sid[x], sid[x + 1])
-            first = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)[1]
-            x = x[first]
+            x = x[np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)[1]]
             for lo in range(0, len(x), 65536):
                 yield out(x[lo : lo + 65536], x[lo : lo + 65536] + 1, np.full(len(x[lo : lo + 65536]), 1 << 40, dtype=np.int64))
 
-    dealt = texts.mapInArrow(post, "bucket int, payload binary").repartitionById(parts, F.col("bucket"))
+    dealt = postings(texts, parts, width, percent, limit).repartitionById(parts, F.col("bucket"))
     pairs = dealt.mapInArrow(index, "a long, b long, na long, nb long, common long").groupBy("a", "b", "na", "nb").agg(F.sum(F.least("common", F.lit(1 << 40))).alias("common"))
     outside = lambda c: F.expr(f"({percent} * {c} + 99) div 100 - 1")  # noqa: E731  shingles behind the prefix
     needed = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
@@ -282,7 +358,10 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
 
 
 def family_links(members: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of set ids that link; members: set, family, i, j, side (0: block i, 1: block j), text."""
+    """(a, b) of set ids that link; members: task, set, side, text.
+
+    Sides 0 and 1 of a task are compared with each other; sets of side 2 also among themselves, and with those of side 1.
+    """
 
     def each(batches):
         key, held = None, []
@@ -292,26 +371,67 @@ def family_links(members: DataFrame, width: int, percent: int = PERCENT) -> Data
             sets = [kernels.distinct(s) for _, s in kernels.shingles(texts, width)]
             seen = {(h[0], h[1]): k for k, (h, s) in enumerate(zip(held, sets, strict=True)) if set_id(s) == h[0]}  # an id can stand for other texts too
             rows = sorted(seen.values())
-            left = [k for k in rows if held[k][1] == 0]
-            right = [k for k in rows if held[k][1] == 1]
-            if key[1] == key[2]:
-                links, at = block_links([sets[k] for k in left], None, percent) if len(left) > 1 else [], left
-            else:
-                links, at = block_links([sets[k] for k in left], [sets[k] for k in right], percent) if left and right else [], left + right
+            left, right = [k for k in rows if held[k][1] != 1], [k for k in rows if held[k][1] == 1]
+            links = []
+            if len(left) > 1 and held[left[0]][1] == 2:
+                links += block_links([sets[k] for k in left], None, percent)
+            if left and right:
+                links += block_links([sets[k] for k in left], [sets[k] for k in right], percent)
+            at = left + right
             return pa.RecordBatch.from_arrays([pa.array([held[at[x]][0] for x, _ in links], type=pa.int64()), pa.array([held[at[y]][0] for _, y in links], type=pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for family, i, j, sid, side, text in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                if (family, i, j) != key:
+            for task, sid, side, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if task != key:
                     if held:
                         yield found()
-                    key, held = (family, i, j), []
+                    key, held = task, []
                 held.append((sid, side, text))
         if held:
             yield found()
 
-    placed = members.select("family", "i", "j", "set", "side", "text").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    return placed.mapInArrow(each, "a long, b long")
+    return members.select("task", "set", "side", "text").repartition("task").sortWithinPartitions("task").mapInArrow(each, "a long, b long")
+
+
+def _blocks(members: DataFrame, block: int, label: str) -> DataFrame:
+    """members with the block of each: a number below that of its family's blocks of its size class, by hash; a family that fits has one block."""
+    classes = members.groupBy("family", "class").agg(F.ceil(F.count("*") / block).cast("long").alias("_n"))
+    return members.join(classes, ["family", "class"]).withColumn(label, F.pmod(F.xxhash64("set"), F.col("_n"))).drop("_n")
+
+
+def compare_families(members: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """(a, b) of set ids, the links of all families reduced to forests; members: family, set, _id, n; texts: _doc, text."""
+
+    def linked(rows: DataFrame, name: str) -> DataFrame:
+        return written(family_links(rows.join(texts, F.col("_id").eqNullSafe(F.col("_doc"))), width, percent), name)
+
+    sizes = members.groupBy("family").agg(F.count("*").alias("_size"))
+    step = math.log(100 / percent)
+    split = F.when(F.col("_size") > block, F.floor(F.log(F.col("n").cast("double")) / step)).otherwise(0)  # sets that link are of one class or of neighbouring ones
+    placed = written(_blocks(members.join(sizes, "family").select("family", "set", "_id", (F.col("_size") > block).alias("many"), split.cast("long").alias("class")), block, "b"), "members")
+    near = lambda c: F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias(c)
+    large = placed.where("many")
+    picks = [F.min_by(F.struct("set", "_id"), F.xxhash64(F.lit(k), "set")).alias(f"p{k}") for k in range(CENTRES)]
+    centres = large.groupBy("family", "class").agg(*picks).select("family", "class", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(CENTRES)]))).alias("p")).select("family", (F.col("class")).alias("c0"), near("d"), "p.set", "p._id")
+    blocks = large.select("family", "class", "b").distinct()
+    met = centres.select("family", (F.col("c0") + F.col("d")).alias("class"), "set", "_id").join(blocks, ["family", "class"])
+    task = lambda *c: F.struct(*[F.coalesce(F.col(x), F.lit(0)).alias(x) for x in c])
+    own = placed.select(F.xxhash64(task("family", "class", "b")).alias("task"), "set", "_id", F.lit(2).alias("side"))
+    first = linked(own.unionByName(met.select(F.xxhash64(task("family", "class", "b")).alias("task"), "set", "_id", F.lit(1).alias("side"))), "links")
+    if not large.limit(1).count():
+        return first
+    parts = written(components(first), "parts")
+    named = large.join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("part", F.coalesce("component", "set")).drop("component")
+    main = named.groupBy("family", "part").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
+    rest = written(_blocks(named.join(main, "family").where("part != main").select("family", "class", "set", "_id"), block, "r"), "rest")
+    left_blocks = rest.select("family", F.col("class").alias("c1"), "r").distinct()
+    right_blocks = blocks.select("family", F.col("class").alias("c2"), "b")
+    close = F.abs(F.col("c1") - F.col("c2")) <= 1
+    pair = F.xxhash64(task("family", "c1", "r", "c2", "b")).alias("task")
+    left = rest.withColumnRenamed("class", "c1").join(right_blocks, "family").where(close).select(pair, "set", "_id", F.lit(0).alias("side"))
+    right = large.select("family", F.col("class").alias("c2"), "b", "set", "_id").join(left_blocks, "family").where(close).select(pair, "set", "_id", F.lit(1).alias("side"))
+    second = linked(left.unionByName(right), "links")
+    return first.unionByName(second)
 
 
 def documents_sets(docs: DataFrame, width: int = kernels.WIDTH) -> DataFrame:
@@ -329,7 +449,7 @@ def documents_sets(docs: DataFrame, width: int = kernels.WIDTH) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(each, "doc_id long, n_shingles long, set long")
 
 
-def join_components(docs: DataFrame, width: int = kernels.WIDTH, percent: int = PERCENT, block: int = BLOCK, short: int = SHORT) -> DataFrame:
+def join_components(docs: DataFrame, width: int = kernels.WIDTH, percent: int = PERCENT, block: int = BLOCK, short: int = SHORT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable over links.
 
     A null, empty or blank text has an empty set and is a component of its
@@ -337,25 +457,18 @@ def join_components(docs: DataFrame, width: int = kernels.WIDTH, percent: int =
     fall into one component.  Null ids link too, but never name a component unless all its ids are null.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select("text")
     rows = written(documents_sets(docs, width), "sets")
-    hot = hot_shingles(texts, parts, width, short)
-    release(spark)
-    families = written(components(candidate_edges(texts, hot, parts, width, percent, short)), "families")
+    total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    texts = docs.select(F.spark_partition_id().alias("part"), "text")
+    families = written(components(candidate_edges(texts, parts, width, percent, short, chunk)), "families")
     release(spark)
-    sets = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("_id"))
-    counted = families.groupBy("component").agg(F.count("*").alias("size"))
-    largest = counted.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
-    block = int(min(block, max(min(block, LEAST_BLOCK), largest / (2 * parts) ** 0.5)))  # so that the largest family gives every partition a pair of blocks
-    sized = counted.select("component", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    members = sets.join(families.withColumnRenamed("node", "set"), "set").join(sized, "component")
-    own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    members = members.select("_id", "set", F.col("component").alias("family"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
-    members = members.select("_id", "set", "family", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), F.when(F.col("own") > F.col("k"), 1).otherwise(0).alias("side"))
+    sets = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("_id"), F.max("n_shingles").alias("n"))
+    members = sets.join(families.select(F.col("node").alias("set"), F.col("component").alias("family")), "set")
+    largest = families.groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    block = int(min(block, max(min(block, LEAST_BLOCK), largest / parts)))  # so that the largest family is spread over the partitions
     texts_by_id = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
-    links = family_links(members.join(texts_by_id, F.col("_id").eqNullSafe(F.col("_doc"))), width, percent)
-    found = written(components(links), "components")
+    found = written(components(compare_families(members, texts_by_id, width, percent, block)), "components")
     drop(families)
     named = rows.where("set is not null").join(found.withColumnRenamed("node", "set"), "set", "left").select("doc_id", "n_shingles", F.coalesce("component", "set").alias("_c"))
     firsts = written(named.groupBy("_c").agg(F.min("doc_id").alias("component_id")), "firsts")

@@ -36,7 +36,7 @@ def brute(rows, percent=80):
 def test_messy_documents(messy, messy_rows, short, block):
     """Also with lists and families so short that long lists, hot shingles and pairs of blocks come into play."""
     rows = [(r[0], r[1]) for r in messy_rows if r[0] is not None]
-    got = nj.join_components(messy.where("doc_id is not null"), short=short, block=block)
+    got = nj.join_components(messy.where("doc_id is not null"), short=short, block=block, chunk=700 * block)
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
@@ -83,6 +83,47 @@ def test_block_overlaps_derive_from_the_set_before():
     assert classes(40, nj.block_links(sets[:20], sets[20:])) == classes(40, cross)
 
 
+def test_block_skipping_gives_just_the_pairs_that_can_reach_the_overlap():
+    rng = np.random.default_rng(9)
+    rows = sorted({(int(key), int(n), int(r), i) for i, (key, n, r) in enumerate(zip(rng.integers(0, 60, 900), rng.integers(10, 60, 900), rng.integers(0, 12, 900), strict=True)) if r < nj.prefix_length(n)})
+    key, n, rank = (np.array([r[k] for r in rows]) for k in range(3))
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    got = [(int(x), int(y)) for a, b in nj.compatible_pairs(starts, sizes, n, rank, 64, 80) for x, y in zip(a, b, strict=True)]
+    reach = lambda x, y: 1 + min(n[x] - rank[x] - 1, n[y] - rank[y] - 1) + min(rank[x], rank[y]) >= nj.least_overlap(n[x] + n[y])
+    assert sorted(got) == [(x, y) for x in range(len(n)) for y in range(x + 1, len(n)) if key[x] == key[y] and 100 * n[x] >= 80 * n[y] and reach(x, y)] and len(got) > 100
+
+
+def test_prefixes_are_dealt_evenly():
+    """Prefixes hold the smallest hashes; the bucket does not follow from these."""
+    rng = np.random.default_rng(10)
+    posted = np.concatenate([np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))[: nj.prefix_length(n)] for n in rng.integers(50, 400, 3000)])
+    sizes = np.bincount(nj.bucket_of(posted, 50).astype(int), minlength=50)
+    assert sizes.max() < 1.1 * sizes.mean() and sizes.min() > 0.9 * sizes.mean()
+
+
+def test_a_passage_of_many_unrelated_texts_makes_no_family(spark):
+    """However many shingles are frequent: a shared passage of 20 words comes last in the order, so it posts nothing."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(20)]
+    rows = [(i, " ".join([word() for _ in range(40)] + passage + [word() for _ in range(40)])) for i in range(600)]
+    rows += [(600 + i, rows[0][1] + f" x{i}") for i in range(3)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("spark_partition_id() part", "text")
+    edges = nj.candidate_edges(texts, 7, 5, short=8, limit=4000).collect()
+    assert {x for e in edges for x in (e.a, e.b)} == {nj.set_id(np.unique(s)) for _, s in nj.kernels.shingles(nj.pa.array([rows[k][1] for k in (0, 600, 601, 602)]))}
+
+
+def test_chunks_do_not_depend_on_batches():
+    pa = nj.pa
+    texts = [None, "", "ab", "cdé", "x" * 50, *["yz"] * 40]
+    whole = pa.RecordBatch.from_arrays([pa.array([7] * len(texts)), pa.array(texts)], names=["part", "text"])
+    for step in (1, 3, 100):
+        got = [(c, t.to_pylist()) for c, t in nj.chunks([whole.slice(i, step) for i in range(0, len(texts), step)], 10)]
+        assert [t for _, x in got for t in x] == texts and [c for c, _ in got] == [(7 << 32) + i for i in range(len(got))]
+        assert got == [(c, t.to_pylist()) for c, t in nj.chunks([whole], 10)]
+
+
 def test_bounds():
     for n in range(1, 200):
         assert nj.prefix_length(n) == n - -(-80 * n // 100) + 1

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm import kernels
+from quire.llm import dealing, kernels
 from quire.llm.components import Forest, components, release
 from quire.llm.storage import drop, written
 
@@ -86,35 +86,6 @@ def _numbers(table: np.ndarray, at: int, width: int, dtype) -> np.ndarray:
     return out.view(dtype).ravel()
 
 
-MESSAGE = "bucket int, chunk long, payload binary"
-
-
-def _emit(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "chunk", "payload"])
-
-
-def chunks(batches, limit: int):
-    """(chunk, its texts) of about ``limit`` bytes; columns: number of the partition, text.  A row's chunk depends only on the rows before it in its partition."""
-    held, size, number, part = [], 0, 0, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part, texts = batch.column(0)[0].as_py(), batch.column(1)
-        sizes = np.array([0 if n is None else n for n in pa.compute.binary_length(texts).to_pylist()], dtype=np.int64)
-        at = 0
-        while at < len(sizes):
-            total = size + np.cumsum(sizes[at:])
-            full = int(np.searchsorted(total, limit))
-            to = min(len(sizes), at + full + 1)
-            held.append(texts.slice(at, to - at))
-            size, at = int(total[to - at - 1]), to
-            if size >= limit:
-                yield (part << 32) + number, pa.concat_arrays(held)
-                held, size, number = [], 0, number + 1
-    if held:
-        yield (part << 32) + number, pa.concat_arrays(held)
-
-
 def chunk_sets(texts: pa.Array, width: int) -> dict[int, np.ndarray]:
     """The different sets of a chunk by identity, without empty ones, in order."""
     out: dict[int, np.ndarray] = {}
@@ -125,7 +96,7 @@ def chunk_sets(texts: pa.Array, width: int) -> dict[int, np.ndarray]:
     return out
 
 
-def shingle_levels(texts: DataFrame, parts: int, width: int, limit: int = CHUNK) -> DataFrame:
+def shingle_levels(texts: DataFrame, tasks: int, parts: int, width: int, limit: int = CHUNK) -> DataFrame:
     """(bucket, chunk, payload): level of each shingle of a chunk's sets that is in the bucket, in order; texts: part, text.
 
     A level grows with the logarithm of the number of sets; 0: no other set has it.  A bucket whose shingles are all
@@ -133,19 +104,14 @@ def shingle_levels(texts: DataFrame, parts: int, width: int, limit: int = CHUNK)
     """
 
     def deal(batches):
-        for chunk, some in chunks(batches, limit):
-            sets = chunk_sets(some, width)
+        for chunk, some in dealing.chunks(batches, limit):
+            sets = chunk_sets(some.column(0), width)
             if sets:
                 every = np.concatenate(list(sets.values()))
-                yield _emit([(b, chunk, x) for b, x in _dealt(every, [_bytes(every, 5)], parts)])
+                yield dealing.emit([(b, chunk, x) for b, x in _dealt(every, [_bytes(every, 5)], parts)])
 
     def count(batches):
-        held: dict[int, list] = {}
-        for batch in batches:
-            for bucket, chunk, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.setdefault(bucket, []).append((chunk, x))
-        for bucket in list(held):
-            some = held.pop(bucket)
+        for bucket, some in dealing.in_order(batches):
             keys = _numbers(np.frombuffer(b"".join(x for _, x in some), dtype=np.uint8).reshape(-1, 5), 0, 5, "<u8")
             order = np.argsort(keys, kind="stable")
             new = np.r_[True, np.diff(keys[order]) != 0]
@@ -157,26 +123,21 @@ def shingle_levels(texts: DataFrame, parts: int, width: int, limit: int = CHUNK)
                 mine = levels[at : at + len(x) // 5]
                 at += len(mine)
                 if mine.any():
-                    yield _emit([(bucket, chunk, mine.tobytes())])
+                    yield dealing.emit([(bucket, chunk, mine.tobytes())])
 
-    return texts.mapInArrow(deal, MESSAGE).repartitionById(parts, F.col("bucket")).mapInArrow(count, MESSAGE)
+    return dealing.to_tasks(texts.mapInArrow(deal, dealing.MESSAGE), tasks).mapInArrow(count, dealing.MESSAGE)
 
 
-def postings(texts: DataFrame, parts: int, width: int, percent: int = PERCENT, limit: int = CHUNK) -> DataFrame:
+def postings(texts: DataFrame, tasks: int, parts: int, width: int, percent: int = PERCENT, limit: int = CHUNK) -> DataFrame:
     """(bucket, chunk, payload): prefixes of the sets, each entry its shingle, set, size and position."""
 
     def carried(batches):
-        for chunk, some in chunks(batches, limit):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("text", some.type)])) as writer:
-                writer.write_batch(pa.RecordBatch.from_arrays([some], names=["text"]))
-            yield _emit([(-1, chunk, sink.getvalue().to_pybytes())])
+        for chunk, some in dealing.chunks(batches, limit):
+            yield dealing.emit([(-1, chunk, dealing.packed(some))])
 
     def post(batches):
-        now, some, levels = None, None, {}
-
-        def posted():
-            sets = chunk_sets(pa.ipc.open_stream(some).read_all().column(0).combine_chunks(), width)
+        def posted(levels):
+            sets = chunk_sets(dealing.unpacked(levels.pop(-1)).column(0), width)
             if not levels or not sets:
                 return []
             every = np.concatenate(list(sets.values()))
@@ -197,21 +158,12 @@ def postings(texts: DataFrame, parts: int, width: int, percent: int = PERCENT, l
             n = np.repeat(np.array([h[3] for h in held], dtype=np.uint32), count)
             return _dealt(shingle, [_bytes(shingle, 6), _bytes(sid, 8), _bytes(n, 4), _bytes(np.concatenate([h[1] for h in held]), 4)], parts) if len(shingle) else []
 
-        for batch in batches:
-            for bucket, chunk, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if chunk != now:
-                    if now is not None and (out := [(b, 0, p) for b, p in posted()]):
-                        yield _emit(out)
-                    now, some, levels = chunk, None, {}
-                if bucket < 0:
-                    some = x
-                else:
-                    levels[bucket] = x
-        if now is not None and (out := [(b, 0, p) for b, p in posted()]):
-            yield _emit(out)
-
-    met = texts.mapInArrow(carried, MESSAGE).unionByName(shingle_levels(texts, parts, width, limit))
-    return met.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(post, MESSAGE)
+        for _, messages in dealing.by_chunk(batches):
+            if out := [(b, 0, p) for b, p in posted(messages)]:
+                yield dealing.emit(out)
+
+    met = texts.mapInArrow(carried, dealing.MESSAGE).unionByName(shingle_levels(texts, tasks, parts, width, limit))
+    return met.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(post, dealing.MESSAGE)
 
 
 def compatible_pairs(starts, sizes, n, rank, short: int, percent: int):
@@ -248,16 +200,12 @@ def compatible_pairs(starts, sizes, n, rank, short: int, percent: int):
             yield y[x], y[np.repeat(own[part], c)]
 
 
-def candidate_edges(texts: DataFrame, parts: int, width: int, percent: int = PERCENT, short: int = SHORT, limit: int = CHUNK) -> DataFrame:
+def candidate_edges(texts: DataFrame, tasks: int, parts: int, width: int, percent: int = PERCENT, short: int = SHORT, limit: int = CHUNK) -> DataFrame:
     """(a, b) of set ids that may link, or that chain sets which may; texts: part, text."""
 
     def index(batches):
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                held.setdefault(bucket, []).append(x)
-        for bucket in list(held):
-            yield from listed(np.frombuffer(b"".join(held.pop(bucket)), dtype=np.uint8).reshape(-1, 22))
+        for _, some in dealing.in_order(batches):
+            yield from listed(np.frombuffer(b"".join(x for _, x in some), dtype=np.uint8).reshape(-1, 22))
 
     def listed(table):
         key, sid = _numbers(table, 0, 6, "<u8"), _numbers(table, 6, 8, "<i8")
@@ -302,7 +250,7 @@ def candidate_edges(texts: DataFrame, parts: int, width: int, percent: int = PER
             for lo in range(0, len(x), 65536):
                 yield out(x[lo : lo + 65536], x[lo : lo + 65536] + 1, np.full(len(x[lo : lo + 65536]), 1 << 40, dtype=np.int64))
 
-    dealt = postings(texts, parts, width, percent, limit).repartitionById(parts, F.col("bucket"))
+    dealt = dealing.to_tasks(postings(texts, tasks, parts, width, percent, limit), tasks)
     pairs = dealt.mapInArrow(index, "a long, b long, na long, nb long, common long").groupBy("a", "b", "na", "nb").agg(F.sum(F.least("common", F.lit(1 << 40))).alias("common"))
     outside = lambda c: F.expr(f"({percent} * {c} + 99) div 100 - 1")  # noqa: E731  shingles behind the prefix
     needed = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
@@ -431,7 +379,7 @@ def compare_families(members: DataFrame, texts: DataFrame, width: int, percent:
     left = rest.withColumnRenamed("class", "c1").join(right_blocks, "family").where(close).select(pair, "set", "_id", F.lit(0).alias("side"))
     right = large.select("family", F.col("class").alias("c2"), "b", "set", "_id").join(left_blocks, "family").where(close).select(pair, "set", "_id", F.lit(1).alias("side"))
     second = linked(left.unionByName(right), "links")
-    return first.unionByName(second)
+    return second.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
 
 
 def documents_sets(docs: DataFrame, width: int = kernels.WIDTH) -> DataFrame:
@@ -459,14 +407,15 @@ def join_components(docs: DataFrame, width: int = kernels.WIDTH, percent: int =
     spark = docs.sparkSession
     rows = written(documents_sets(docs, width), "sets")
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = tasks * max(1, -(-total // (BUCKET * tasks)))
     texts = docs.select(F.spark_partition_id().alias("part"), "text")
-    families = written(components(candidate_edges(texts, parts, width, percent, short, chunk)), "families")
+    families = written(components(candidate_edges(texts, tasks, parts, width, percent, short, chunk)), "families")
     release(spark)
     sets = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("_id"), F.max("n_shingles").alias("n"))
     members = sets.join(families.select(F.col("node").alias("set"), F.col("component").alias("family")), "set")
     largest = families.groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    block = int(min(block, max(min(block, LEAST_BLOCK), largest / parts)))  # so that the largest family is spread over the partitions
+    block = int(min(block, max(min(block, LEAST_BLOCK), largest / tasks)))  # so that the largest family is spread over the partitions
     texts_by_id = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
     found = written(components(compare_families(members, texts_by_id, width, percent, block)), "components")
     drop(families)

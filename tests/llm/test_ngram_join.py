@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from quire.llm import dealing
 from quire.llm import ngram_join as nj
 from tests.llm.test_fingerprints import shingle_set
 
@@ -110,7 +111,7 @@ def test_a_passage_of_many_unrelated_texts_makes_no_family(spark):
     rows = [(i, " ".join([word() for _ in range(40)] + passage + [word() for _ in range(40)])) for i in range(600)]
     rows += [(600 + i, rows[0][1] + f" x{i}") for i in range(3)]
     texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("spark_partition_id() part", "text")
-    edges = nj.candidate_edges(texts, 7, 5, short=8, limit=4000).collect()
+    edges = nj.candidate_edges(texts, 4, 8, 5, short=8, limit=4000).collect()
     assert {x for e in edges for x in (e.a, e.b)} == {nj.set_id(np.unique(s)) for _, s in nj.kernels.shingles(nj.pa.array([rows[k][1] for k in (0, 600, 601, 602)]))}
 
 
@@ -119,9 +120,9 @@ def test_chunks_do_not_depend_on_batches():
     texts = [None, "", "ab", "cdé", "x" * 50, *["yz"] * 40]
     whole = pa.RecordBatch.from_arrays([pa.array([7] * len(texts)), pa.array(texts)], names=["part", "text"])
     for step in (1, 3, 100):
-        got = [(c, t.to_pylist()) for c, t in nj.chunks([whole.slice(i, step) for i in range(0, len(texts), step)], 10)]
+        got = [(c, t.column(0).to_pylist()) for c, t in dealing.chunks([whole.slice(i, step) for i in range(0, len(texts), step)], 10)]
         assert [t for _, x in got for t in x] == texts and [c for c, _ in got] == [(7 << 32) + i for i in range(len(got))]
-        assert got == [(c, t.to_pylist()) for c, t in nj.chunks([whole], 10)]
+        assert got == [(c, t.column(0).to_pylist()) for c, t in dealing.chunks([whole], 10)]
 
 
 def test_bounds():

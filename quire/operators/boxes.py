@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MANIFEST = "map<string,map<string,struct<path:string,boxes:array<array<double>>>>>"
-CONFIDENCE = 0.25
+#: fixed values: how sure a detector must be, and pixels added on each side
+CONFIDENCE, PAD = 0.25, 5
 
 
-def clamp(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, pad: int = 5) -> list[Column]:
+def clamp(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, pad: int = PAD) -> list[Column]:
     """Box padded and kept inside the page, whole pixels."""
     whole = lambda c: c.cast("int")
     return [F.greatest(F.lit(0), whole(x1) - pad).alias("x1"), F.greatest(F.lit(0), whole(y1) - pad).alias("y1"), F.least(width, whole(x2) + pad).alias("x2"), F.least(height, whole(y2) + pad).alias("y2")]

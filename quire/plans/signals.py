@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quire.functions import signal
+from quire.operators import pages
 from quire.plans.lines import table
+from quire.sources import readers
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -105,7 +107,7 @@ def _pages(pdf: pd.DataFrame):
         for k in range(4):
             top = 10 + 22 * k
             page[top : top + 9, 8:120] = 255 - 200 * (np.tile(np.abs(v), 2)[None, : 112] > 0.05)
-        yield vec_id, np.clip(image.rotate(page, float(np.clip(v[0] * 6, -3, 3))), 0, 255).astype(np.uint8), v
+        yield vec_id, np.clip(image.rotate(page, float(np.clip(v[0] * 6, -3, 3))), 0, 255).astype(np.uint8)
 
 
 IMAGES = "vec_id long, angle double, threshold int, denoised_mean double, ink_share double, lines int, first_height int, augmented_mean double"
@@ -120,10 +122,10 @@ def page_images(spark, sf_dir):
 
         for pdf in batches:
             out = []
-            for vec_id, grey, _ in _pages(pdf):
+            for vec_id, grey in _pages(pdf):
                 angle = image.skew_angle(grey)
-                straight = image.deskew(grey)
-                clean = image.denoise(straight, 25)
+                straight = image.deskew(grey, angle=angle)
+                clean = image.denoise(straight)
                 binary = image.sauvola(clean)
                 found = image.segment(binary)
                 first = image.crop(straight, *found[0]).shape[0] if found else 0
@@ -132,3 +134,16 @@ def page_images(spark, sf_dir):
             yield pd.DataFrame(out, columns=[c.split()[0] for c in IMAGES.split(", ")])
 
     return _signals(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(each, IMAGES)
+
+
+@query("page_lines")
+def page_lines(spark, sf_dir):
+    """PNG files of a page for each vector, cut into line images: names, sizes and checksums of the files that come out."""
+
+    def drawn(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(f"pages/source1_page{vec_id:03d}.png", readers.encode_png(grey)) for vec_id, grey in _pages(pdf)], columns=["path", "content"])
+
+    signals = _signals(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = pages.line_images(signals.mapInPandas(drawn, "path string, content binary"))
+    return found.select("page", "line", "name", "height", "width", F.crc32("png").alias("png_crc32"))

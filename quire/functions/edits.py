@@ -12,10 +12,57 @@ from pyspark.sql import functions as F
 from quire.functions.text import words
 
 ORDERS = 6
+SHORT = 256
+
+
+def sequence_distance(a, b) -> int:
+    """Levenshtein distance of two sequences of hashable items, a whole column of the table in a few operations on long integers."""
+    low, most = 0, min(len(a), len(b))
+    while low < most and a[low] == b[low]:
+        low += 1
+    end = 0
+    while end < most - low and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[low : len(a) - end], b[low : len(b) - end]
+    if not a or not b:
+        return len(a) or len(b)
+    at: dict = {}
+    for i, x in enumerate(a):
+        at.setdefault(x, []).append(i)
+    size, places = len(a) // 8 + 1, {}
+    for x, found in at.items():
+        bits = np.zeros(8 * size, dtype=np.uint8)
+        bits[found] = 1
+        places[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full, last, out = (1 << len(a)) - 1, len(a) - 1, len(a)
+    up, down = full, 0  # where the table grows or falls by one from row to row
+    for x in b:
+        same = places.get(x, 0)
+        level = same | down
+        side = (((same & up) + up) ^ up) | same
+        rise, fall = (down | ~(side | up)) & full, up & side
+        out += ((rise >> last) & 1) - ((fall >> last) & 1)
+        rise, fall = (rise << 1) | 1, fall << 1
+        up, down = (fall | ~(level | rise)) & full, rise & level & full
+    return out
+
+
+def _long(a: Column, b: Column, kind) -> Column:
+    @F.pandas_udf("int")
+    def find(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else sequence_distance(kind(x), kind(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    return find(a, b)
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance: of texts of up to ``SHORT`` characters by Spark's expression, of longer ones, where that takes the product of lengths, by long integers."""
+    long = F.greatest(F.length(a), F.length(b)) > SHORT
+    return F.coalesce(F.when(~long, F.levenshtein(a, b)), _long(F.when(long, a), F.when(long, b), str))
 
 
 def char_edits(ref: Column, hyp: Column) -> Column:
-    return F.levenshtein(ref, hyp)
+    return distance(ref, hyp)
 
 
 def char_length(ref: Column) -> Column:
@@ -24,9 +71,9 @@ def char_length(ref: Column) -> Column:
 
 
 def word_edits(ref: Column, hyp: Column) -> Column:
-    """Levenshtein distance of token sequences: each distinct token becomes one character of its own.
+    """Levenshtein distance of token sequences, however many different tokens there are.
 
-    Up to 35,000 distinct tokens in a row; beyond, characters would reach the surrogates.
+    Of up to ``SHORT`` tokens each distinct one becomes one character of its own, for Spark's expression.
     """
 
     def recoded(tokens: Column, known: Column) -> Column:
@@ -37,7 +84,10 @@ def word_edits(ref: Column, hyp: Column) -> Column:
         known = F.array_distinct(F.concat(pair["r"], pair["h"]))
         return F.element_at(F.transform(F.array(known), lambda k: F.levenshtein(recoded(pair["r"], k), recoded(pair["h"], k))), 1)
 
-    return F.element_at(F.transform(F.array(F.struct(words(ref).alias("r"), words(hyp).alias("h"))), of), 1)
+    r, h = words(ref), words(hyp)
+    long = F.greatest(F.size(r), F.size(h)) > SHORT
+    short = F.element_at(F.transform(F.array(F.struct(r.alias("r"), h.alias("h"))), of), 1)
+    return F.coalesce(F.when(~long, short), _long(F.when(long, r), F.when(long, h), list))
 
 
 def word_length(ref: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import textwrap
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +27,18 @@ def words(text: Column) -> Column:
 
 
 def present(text: Column) -> Column:
-    """Is there anything but white space?"""
-    return F.trim(F.coalesce(text, F.lit(""))) != ""
+    """Is there anything but white space, Unicode's included?"""
+    return strip(F.coalesce(text, F.lit(""))) != ""
+
+
+def wrapped(text: Column, width: int = 80) -> Column:
+    """array<string>: the text's display lines of at most ``width`` characters, broken at white space and hyphens."""
+
+    @F.pandas_udf("array<string>")
+    def wrap(texts: pd.Series) -> pd.Series:
+        return pd.Series([textwrap.wrap(t or "", width) for t in texts], dtype=object)
+
+    return wrap(text)
 
 
 def slug(text: Column) -> Column:
@@ -61,10 +74,15 @@ def padded_name(page: Column, number: Column, suffix: str = ".png") -> Column:
     return F.concat(page, F.format_string("_line_%03d", number), F.lit(suffix))
 
 
-def natural_key(text: Column, digits: int = 20) -> Column:
-    """A string that sorts as the text does with its digit runs read as numbers, case ignored."""
+def natural_key(text: Column) -> Column:
+    """A string that sorts as the text does with its digit runs, however long, read as numbers, case ignored."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, digits, "0")).otherwise(p)), "")
+
+    def number(p: Column) -> Column:
+        bare = F.regexp_replace(p, r"^0+(?=\d)", "")
+        return F.concat(F.lpad(F.length(bare).cast("string"), 9, "0"), bare)
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p)), "")
 
 
 def page_number(page: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import text
 from quire.operators.order import numbered
 
 ALIGNED, EXCESS_LEFT, EXCESS_RIGHT = "aligned", "excess_left", "excess_right"
@@ -38,3 +39,13 @@ def rank_in(value: Column, order: list[str], otherwise: int = 10_000) -> Column:
     """Place of a value in a reading order, from 0; ``otherwise`` where it is not in it."""
     place = F.array_position(F.array(*[F.lit(x) for x in order]), F.coalesce(value, F.lit("")))
     return F.when(place > 0, place - 1).otherwise(otherwise).cast("int")
+
+
+def page_order(page: Column, rank: Column) -> list[Column]:
+    """Sort keys of pages: place in the reading order, number, side."""
+    return [rank, text.page_number(page), text.side_rank(page)]
+
+
+def overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct rows of left whose keys right has as well."""
+    return left.distinct().join(right.select(*keys).distinct(), keys, "left_semi")

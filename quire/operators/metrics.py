@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import edits
 from quire.functions.edits import ORDERS
+from quire.operators.order import numbered
 
 
 def with_edits(lines: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
@@ -46,13 +47,31 @@ def chrf_effective(orders: int = ORDERS, beta: float = 2.0, scale: float = 100.0
     return scale * f_beta(mean(2), mean(1), beta)
 
 
+def edit_sums() -> list[Column]:
+    """num_samples and the sums of ``with_edits``."""
+    return [F.count("*").alias("num_samples")] + [F.sum(c).cast("long").alias(n) for c, n in (("c_edits", "cer_edits"), ("c_len", "cer_chars"), ("w_edits", "wer_edits"), ("w_len", "wer_words"))]
+
+
 def rates(counted: DataFrame, keys: list[str]) -> DataFrame:
     """Micro-averaged CER and WER, with their sums, by key; no keys: overall."""
-    sums = [F.count("*").alias("num_samples")] + [F.sum(c).cast("long").alias(n) for c, n in (("c_edits", "cer_edits"), ("c_len", "cer_chars"), ("w_edits", "wer_edits"), ("w_len", "wer_words"))]
-    out = counted.groupBy(*keys).agg(*sums)
+    out = counted.groupBy(*keys).agg(*edit_sums())
     return out.select(*keys, "num_samples", safe_ratio(F.col("cer_edits"), F.col("cer_chars")).alias("cer"), safe_ratio(F.col("wer_edits"), F.col("wer_words")).alias("wer"), "cer_edits", "cer_chars", "wer_edits", "wer_words")
 
 
+def list_rate(lines: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """edits, chars, cer of a list of texts; lengths as they are, so that empty references add nothing."""
+    out = lines.agg(F.coalesce(F.sum(edits.char_edits(F.col(ref), F.col(hyp))), F.lit(0)).cast("long").alias("edits"), F.coalesce(F.sum(F.length(ref)), F.lit(0)).cast("long").alias("chars"))
+    return out.select("edits", "chars", safe_ratio(F.col("edits"), F.col("chars")).alias("cer"))
+
+
+def joined(lines: DataFrame, keys: list[str], order: list[Column], size: int, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """ref and hyp of ``size`` lines each, joined by newlines, in the given order within the keys."""
+    placed = numbered(lines, keys, order, "_at")
+    rows = F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col(ref).alias("ref"), F.col(hyp).alias("hyp"))))
+    pages = placed.groupBy(*keys, F.floor((F.col("_at") - 1) / size).alias("page")).agg(rows.alias("x"))
+    return pages.select(*keys, "page", F.array_join("x.ref", "\n").alias("ref"), F.array_join("x.hyp", "\n").alias("hyp"))
+
+
 def corpus_chrf(lines: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """chrF of a corpus, by key: n-grams are summed over all rows first."""
     counted = lines.select(*keys, edits.gram_counts(F.col(ref), F.col(hyp)).alias("grams"))

@@ -133,7 +133,17 @@ def composite_sort_rank(spark, sf_dir):
     """Seven keys: reading-order rank, page number, side, line, variant before its base, variant number, name; within an order, which is small."""
     side = F.when(F.col("l_returnflag") == "A", "").when(F.col("l_returnflag") == "N", "Left").otherwise("x")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", F.concat(F.col("l_linenumber").cast("string"), side).alias("page"))
-    keys = [align.rank_in(F.col("l_linestatus"), ["O"]), text.page_number(F.col("page")), text.side_rank(F.col("page")), F.col("l_partkey") % 7, F.when(F.col("l_partkey") % 3 == 0, 0).otherwise(1), F.col("l_partkey"), F.col("page")]
+    keys = [*align.page_order(F.col("page"), align.rank_in(F.col("l_linestatus"), ["O"])), F.col("l_partkey") % 7, F.when(F.col("l_partkey") % 3 == 0, 0).otherwise(1), F.col("l_partkey"), F.col("page")]
+    return rows.select("l_orderkey", "l_linenumber", "page", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*keys)).cast("long").alias("place"))
+
+
+@query("canonical_sort_rank", f"""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, {PAGE} AS page, l_linestatus FROM lineitem)
+SELECT l_orderkey, l_linenumber, page, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_linestatus WHEN 'O' THEN 0 ELSE 10000 END, l_linenumber, CASE WHEN page LIKE '%Left' THEN 1 WHEN page LIKE '%x' THEN 3 ELSE 0 END, l_partkey % 7, page, l_partkey) AS place FROM p""")
+def canonical_sort_rank(spark, sf_dir):
+    """Rows without variants: reading-order rank, page number, side, line, name; within an order, which is small."""
+    side = F.when(F.col("l_returnflag") == "A", "").when(F.col("l_returnflag") == "N", "Left").otherwise("x")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", F.concat(F.col("l_linenumber").cast("string"), side).alias("page"))
+    keys = [*align.page_order(F.col("page"), align.rank_in(F.col("l_linestatus"), ["O"])), F.col("l_partkey") % 7, F.col("page"), F.col("l_partkey")]
     return rows.select("l_orderkey", "l_linenumber", "page", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*keys)).cast("long").alias("place"))
 
 
@@ -233,7 +243,12 @@ def set_operations(spark, sf_dir):
     return out.unionByName(counted(table(spark, sf_dir, "documents").select("lang").where("lang is not null").distinct(), "langs")).unionByName(counted(docs.unionByName(labels), "all"))
 
 
-@query("transcript_lines", f"WITH {LINES} SELECT source, count(DISTINCT (doc_id, line_no)) AS lines, count(*) AS pieces, CAST(max(length(ref)) AS INTEGER) AS longest FROM h GROUP BY source")
+@query("transcript_lines", f"WITH {LINES} SELECT source, count(*) AS lines, CAST(max(length(ref)) AS INTEGER) AS longest, CAST(sum(length(ref)) AS BIGINT) AS chars FROM h GROUP BY source")
 def transcript_lines(spark, sf_dir):
-    held = lines(spark, sf_dir)
-    return held.groupBy("source").agg(F.count_if(F.col("piece") == 0).alias("lines"), F.count("*").alias("pieces"), F.max(F.length("ref")).alias("longest"))
+    return lines(spark, sf_dir).groupBy("source").agg(F.count("*").alias("lines"), F.max(F.length("ref")).alias("longest"), F.sum(F.length("ref")).cast("long").alias("chars"))
+
+
+@query("page_overlap", "SELECT lang, count(*) AS ids FROM (SELECT DISTINCT lang, l.doc_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id) GROUP BY lang")
+def page_overlap(spark, sf_dir):
+    """Documents, by language, that both sides have: pages of transcripts and of crops."""
+    return align.overlap(table(spark, sf_dir, "documents").select("lang", "doc_id"), table(spark, sf_dir, "labels").select("doc_id"), ["doc_id"]).groupBy("lang").agg(F.count("*").alias("ids"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 
+#: fixed values: columns of a manifest, and those that must be there
 MANIFEST = "split string, source string, source_id string, page string, line string, image_path string, ground_truth_text string, is_augmented string, aug_id string, orig_image_path string"
 REQUIRED = ("split", "source", "source_id", "page", "line", "image_path", "ground_truth_text")
 BOM = "﻿"
@@ -88,15 +89,15 @@ def csv(spark: SparkSession, path: str, schema: str | None = None, infer: bool =
     return read.withColumns(strings) if strings else read
 
 
-def manifest(spark: SparkSession, path: str, split: str | None = None, limit: int = 0, required: tuple[str, ...] = REQUIRED) -> DataFrame:
-    """Rows of a manifest with an image and a text; raises on missing columns or if nothing is left."""
+def manifest(spark: SparkSession, path: str, split: str | None = None, limit: int = 0, order: tuple[str, ...] = ("source_id", "page", "line", "image_path"), required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """Rows of a manifest with an image and a text, of a limit the first in order; raises on missing columns or if nothing is left."""
     rows = csv(spark, path)
     if missing := [c for c in required if c not in rows.columns]:
         raise ValueError(f"{path} lacks {', '.join(missing)}")
     if split is not None:
         rows = rows.where(F.lower(F.trim("split")) == split.lower())
     rows = rows.withColumns({c: text.strip(F.col(c)) for c in required}).where(text.present(F.col("image_path")) & text.present(F.col("ground_truth_text")))
-    rows = rows.limit(limit) if limit else rows
+    rows = rows.orderBy(*[text.natural_key(F.col(c)) for c in order]).limit(limit) if limit else rows
     if rows.limit(1).count() == 0:
         raise ValueError(f"{path} has no rows to evaluate")
     return rows
@@ -118,6 +119,7 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+#: fixed values: how crops are named
 CROP = r"(?i)^(.+)_line_(\d+)(?:\.(\d+))?\.png$"
 
 

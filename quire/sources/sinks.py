@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.sources.staging import staged
 
-
 #: a header, doubled quotes, white space and empty strings as they are
 CSV = {"header": "true", "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -38,11 +36,9 @@ def write_manifests(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**CSV).partitionBy("split").csv(path)
 
 
-def write_json(df: DataFrame, path: str, indent: int | None = 2) -> None:
-    """A small result as one JSON document a row, other than ASCII characters kept."""
-    spark = df.sparkSession
-    rows = [json.dumps(json.loads(r[0]), indent=indent, ensure_ascii=False) for r in df.select(F.to_json(F.struct(*df.columns))).collect()]
-    spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(path)
+def write_json(df: DataFrame, path: str, pretty: bool = True) -> None:
+    """One JSON document a row, indented by 2 if pretty, other than ASCII characters kept; nothing is collected."""
+    df.select(F.to_json(F.struct(*df.columns), {"pretty": str(pretty).lower()}).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:
@@ -50,10 +46,21 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_files(df: DataFrame, name: str, content: str, folder: str, opener: Callable = open) -> DataFrame:
+def open_shared(path: str):
+    """A stream to a new file of storage that executors share; a path without a scheme could be any machine's own disk."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        raise ValueError(f"{path} has no scheme, such as file:// or hdfs://")
+    system, bare = fs.FileSystem.from_uri(path)
+    system.create_dir(bare.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(bare)
+
+
+def write_files(df: DataFrame, name: str, content: str, folder: str, opener: Callable = open_shared) -> DataFrame:
     """Each row's content as a file of its own, and the paths written.
 
-    ``opener`` opens a path of storage that all executors see; a file is written again if its task is.
+    ``opener`` opens a path, below the URI ``folder``, for bytes; a file is written again if its task is.
     """
 
     def each(batches):
@@ -63,7 +70,7 @@ def write_files(df: DataFrame, name: str, content: str, folder: str, opener: Cal
             done = []
             for n, data in zip(pdf[name], pdf[content], strict=True):
                 path = f"{folder.rstrip('/')}/{n}"
-                with opener(path, "wb") as f:
+                with opener(path) as f:
                     f.write(data.encode("utf-8") if isinstance(data, str) else bytes(data))
                 done.append((path,))
             yield pd.DataFrame(done, columns=["path"])
@@ -82,3 +89,14 @@ def backup_path(spark: SparkSession, path: str) -> str:
     """Where a backup of path goes, by the time of now."""
     now = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")).first()[0]
     return f"{path.rstrip('/')}_backup_{now}"
+
+
+def backup(spark: SparkSession, path: str) -> str | None:
+    """Copies what stands at path to ``backup_path``, which is returned; None where there is nothing."""
+    jvm, conf, to = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), backup_path(spark, path)
+    held, copy = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    system = held.getFileSystem(conf)
+    if not system.exists(held):
+        return None
+    jvm.org.apache.hadoop.fs.FileUtil.copy(system, held, copy.getFileSystem(conf), copy, False, conf)
+    return to

@@ -12,11 +12,12 @@ _tables: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, a temporary folder is set."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder is set: of the warehouse, which a cluster shares, or a temporary one if the master is local."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        held = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='quire-')}"
+        own = f"file://{tempfile.mkdtemp(prefix='quire-')}" if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_quire"
+        held = known.get() if known.isDefined() else own
         spark.conf.set("spark.checkpoint.dir", held)
     return held.rstrip("/")
 

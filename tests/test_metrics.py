@@ -1,4 +1,5 @@
 import random
+import textwrap
 from collections import Counter
 
 import pytest
@@ -75,6 +76,26 @@ def test_edits_and_grams_of_edge_cases_and_random_texts(spark):
     assert metrics.corpus_chrf(df, []).first().chrf == pytest.approx(chrf(pairs), abs=1e-12)
 
 
+def test_distances_of_long_texts_and_of_many_different_words(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcñé ") for _ in range(1500))
+    pairs = [(long, "".join(rng.choice("abcñé ") if rng.random() < share else c for c in long)) for share in (0.01, 0.1, 0.4, 1)]
+    for r in metrics.with_edits(spark.createDataFrame(pairs, "ref string, hyp string")).collect():
+        assert r.c_edits == distance(r.ref, r.hyp) and r.w_edits == distance(r.ref.split(), r.hyp.split())
+    many = [f"w{i}" for i in range(50000)]
+    other = ["new", *many[:40000], *many[40003:]]
+    df = spark.createDataFrame([(" ".join(many), " ".join(other))], "ref string, hyp string")
+    assert df.select(edits.word_edits(F.col("ref"), F.col("hyp")).alias("e")).first().e == 4
+
+
+def test_lists_and_joined_lines(spark):
+    df = spark.createDataFrame([(1, "abc", "abd"), (2, "", "x"), (3, "q r", "q\nr")], "n long, ref string, hyp string")
+    row = metrics.list_rate(df).first()
+    assert (row.edits, row.chars) == (3, 6) and row.cer == pytest.approx(0.5)
+    pages = metrics.joined(df, [], [F.col("n")], 2).orderBy("page").collect()
+    assert [(r.ref, r.hyp) for r in pages] == [("abc\n", "abd\nx"), ("q r", "q\nr")]
+
+
 def test_null_hypotheses_count_no_grams(spark):
     df = spark.createDataFrame([("ab", None), (None, "ab")], "ref string, hyp string")
     assert metrics.corpus_chrf(df, []).first().chrf == 0
@@ -88,6 +109,16 @@ def test_text_functions(spark):
     key = [text.page_number(F.col("p")), text.side_rank(F.col("p"))]
     assert [r.p for r in pages.orderBy(*key).collect()] == ["1", "2", "2left", "2right", "10", "cover"]
     assert [r.p for r in pages.orderBy(text.natural_key(F.col("p"))).collect()] == ["1", "2", "2left", "2right", "10", "cover"]
+    digits = ["9" * 22, "1" + "0" * 22, "1" + "0" * 21 + "1", "7", "x010a", "x9a", "x0010b"]
+    rows = spark.createDataFrame([(d,) for d in digits], "p string").orderBy(text.natural_key(F.col("p"))).collect()
+    assert [r.p for r in rows] == ["7", "9" * 22, "1" + "0" * 22, "1" + "0" * 21 + "1", "x9a", "x010a", "x0010b"]
+
+
+def test_present_and_wrapped(spark):
+    df = spark.createDataFrame([("\t\u00a0 ",), (None,), (" a\u2003",)], "s string")
+    assert [r.p for r in df.select(text.present(F.col("s")).alias("p")).collect()] == [False, False, True]
+    said = "one two-three " * 9 + "x" * 30
+    assert list(spark.range(1).select(text.wrapped(F.lit(said), 20).alias("w")).first().w) == textwrap.wrap(said, 20)
 
 
 def test_correction_and_evaluation_forms(spark):

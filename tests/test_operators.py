@@ -63,8 +63,10 @@ def test_batches_fall_back_to_the_input(spark):
             raise ValueError("no model")
         return [t.upper() for t in texts]
 
-    got = {r.id: r.corrected for r in infer.corrected(batches, "t", call, attempts=2).collect()}
+    got = {r.id: r.corrected for r in infer.corrected(batches, "t", call, attempts=2, sleep=lambda s: None).collect()}
     assert got == {i: f"t{i}" for i in range(6)} | {6: "T6", 7: "T7"}
+    one = infer.corrected(batches.repartition(1), "t", lambda texts: [f"{len(texts)}{t}" for t in texts])
+    assert {r.id: r.corrected for r in one.collect()} == {i: f"{2 if i > 5 else 3}t{i}" for i in range(8)}
     replies = infer.to_messages(batches, "t")
     assert infer.from_messages(replies).count() == 8
     assert infer.from_messages(replies.withColumn("payload", F.lit('["x"]'))).count() == 0
@@ -88,10 +90,35 @@ def test_quality(spark):
     assert tuple(quality.early_stop(runs, "run", ["i"], "v", 9).first()) == ("r", 6, 1.0, None)
 
 
-def test_catalog_has_sql_for_all_but_images():
+class Refused(Exception):
+    def __init__(self, code):
+        self.code = code
+
+
+def test_retries_wait_as_the_error_says():
+    waits, replies = [], iter([Refused(429), Refused(429), Refused(500), ["x"], ["A", "B"]])
+
+    def call(texts):
+        reply = next(replies)
+        if isinstance(reply, Exception):
+            raise reply
+        return reply
+
+    assert infer.answered(["a", "b"], call, sleep=waits.append) == ["A", "B"] and waits == [11, 12, 5]
+    waits.clear()
+    assert infer.answered(["a"], infer.by_json(lambda message: "no json"), attempts=2, sleep=waits.append) == ["a"] and waits == [5, 5]
+    assert infer.answered(["é", "b"], infer.by_json(str.upper)) == ["É", "B"]
+
+
+def test_overlap_of_pages(spark):
+    left, right = (spark.createDataFrame(rows, "s string, p long") for rows in ([("a", 1), ("a", 1), ("b", 2), (None, 3)], [("x", 1), ("x", 3), ("x", 9)]))
+    assert sorted(r.p for r in align.overlap(left, right, ["p"]).collect()) == [1, 3]
+
+
+def test_catalog_has_sql_for_all_but_images_and_long_word_distances():
     from quire.plans import catalog
 
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"page_images"} and set(catalog.oracle_sql()) <= set(catalog.queries())
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"page_images", "page_lines", "wer_whole_lines"} and set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
 def test_entry(spark):

@@ -16,6 +16,9 @@ def test_csv_round_trip_and_manifest_rules(spark, tmp_path):
     back = readers.csv(spark, f"{tmp_path}/m")
     assert sorted(map(tuple, back.collect())) == sorted(ROWS)
     assert [r.image_path for r in readers.manifest(spark, f"{tmp_path}/m", "train").collect()] == ["x/2.png"]
+    more = spark.createDataFrame([("val", "s", "s1", str(p), str(n), f"{p}_{n}.png", "t", "0", "0", "") for p in (10, 2) for n in (11, 9)], readers.MANIFEST)
+    sinks.write_csv(more.repartition(4), f"{tmp_path}/o")
+    assert {r.image_path for r in readers.manifest(spark, f"{tmp_path}/o", limit=3).collect()} == {"2_9.png", "2_11.png", "10_9.png"}
     with pytest.raises(ValueError, match="no rows"):
         readers.manifest(spark, f"{tmp_path}/m", "test")
     sinks.write_csv(df.drop("page"), f"{tmp_path}/n")
@@ -35,6 +38,7 @@ def test_sinks_by_source_and_split(spark, tmp_path):
     sinks.write_everywhere(df, [f"{tmp_path}/a", f"{tmp_path}/b"])
     assert readers.csv(spark, f"{tmp_path}/a").count() == readers.csv(spark, f"{tmp_path}/b").count() == 3
     sinks.write_json(df.where("split = 'val'").select("ground_truth_text"), f"{tmp_path}/j")
+    assert any('\n  "ground_truth_text"' in p.read_text(encoding="utf-8") for p in (tmp_path / "j").glob("part-*"))
     assert "ñ" in "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "j").glob("part-*"))
     assert readers.json_document(spark, f"{tmp_path}/j", "ground_truth_text string").first()[0] == ROWS[0][6]
 
@@ -52,7 +56,12 @@ def test_files_crops_images_and_sidecars(spark, tmp_path):
         readers.files(spark, str(tmp_path), "*.pdf")
     rows = spark.createDataFrame([("s1", "3", "7", "2", "t")], "source_id string, page string, line string, aug_id string, text string")
     named = sinks.sidecar_names(rows).select(F.concat("stem", F.lit(".gt.txt")).alias("name"), "text")
-    assert [r.path for r in sinks.write_files(named, "name", "text", str(tmp_path)).collect()] == [f"{tmp_path}/s1_p3_l007_aug02.gt.txt"]
+    assert [r.path for r in sinks.write_files(named, "name", "text", f"file://{tmp_path}/out").collect()] == [f"file://{tmp_path}/out/s1_p3_l007_aug02.gt.txt"]
+    assert (tmp_path / "out" / "s1_p3_l007_aug02.gt.txt").read_text() == "t"
+    with pytest.raises(ValueError, match="no scheme"):
+        sinks.open_shared(str(tmp_path / "x"))
+    kept = sinks.backup(spark, f"{tmp_path}/out")
+    assert kept.startswith(f"{tmp_path}/out_backup_") and readers.files(spark, kept).count() == 1 and sinks.backup(spark, f"{tmp_path}/none") is None
     assert readers.first_existing(spark, [f"{tmp_path}/none", str(tmp_path)]) == str(tmp_path)
 
 

@@ -49,6 +49,11 @@ def pages_of(documents: DataFrame, render) -> DataFrame:
     return documents.select("source_no", "content").mapInPandas(each, "source_no long, page_no int, content binary")
 
 
+def labelled(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """Image files (path) for which there is a label file with the same stem."""
+    return images.join(labels.select(text.stem(F.col("path")).alias("_stem")).distinct(), text.stem(F.col("path")) == F.col("_stem"), "left_semi")
+
+
 def whole_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """path, text of UTF-8 files, a row for each."""
     read = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
@@ -89,13 +94,15 @@ def csv(spark: SparkSession, path: str, schema: str | None = None, infer: bool =
     return read.withColumns(strings) if strings else read
 
 
-def manifest(spark: SparkSession, path: str, split: str | None = None, limit: int = 0, order: tuple[str, ...] = ("source_id", "page", "line", "image_path"), required: tuple[str, ...] = REQUIRED) -> DataFrame:
+def manifest(spark: SparkSession, path: str, split: str | None = None, source: str | None = None, limit: int = 0, order: tuple[str, ...] = ("source_id", "page", "line", "image_path"), required: tuple[str, ...] = REQUIRED) -> DataFrame:
     """Rows of a manifest with an image and a text, of a limit the first in order; raises on missing columns or if nothing is left."""
     rows = csv(spark, path)
     if missing := [c for c in required if c not in rows.columns]:
         raise ValueError(f"{path} lacks {', '.join(missing)}")
     if split is not None:
         rows = rows.where(F.lower(F.trim("split")) == split.lower())
+    if source is not None:
+        rows = rows.where(F.col("source") == source)
     rows = rows.withColumns({c: text.strip(F.col(c)) for c in required}).where(text.present(F.col("image_path")) & text.present(F.col("ground_truth_text")))
     rows = rows.orderBy(*[text.natural_key(F.col(c)) for c in order]).limit(limit) if limit else rows
     if rows.limit(1).count() == 0:
@@ -153,6 +160,28 @@ def encode_png(grey: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, per: int) -> np.ndarray:
+    """Bytes of an image row from its filtered ones and the row above; kinds as the format numbers them."""
+    if kind == 0:
+        return line
+    if kind == 1:  # less the pixel to the left: sums along the row
+        return line.reshape(-1, per).astype(np.uint64).cumsum(axis=0).astype(np.uint8).ravel()
+    if kind == 2:
+        return line + above
+    given, up, out = line.tolist(), above.tolist(), [0] * len(line)
+    for i, x in enumerate(given):
+        left, corner = (out[i - per], up[i - per]) if i >= per else (0, 0)
+        if kind == 3:
+            guess = (left + up[i]) >> 1
+        elif kind == 4:
+            a, b, c = abs(up[i] - corner), abs(left - corner), abs(left + up[i] - 2 * corner)
+            guess = left if a <= b and a <= c else up[i] if b <= c else corner
+        else:
+            raise ValueError(f"no filter {kind}")
+        out[i] = (x + guess) & 255
+    return np.array(out, dtype=np.uint8)
+
+
 def decode_png(data: bytes) -> np.ndarray | None:
     """Grey levels of an 8-bit grey or RGB(A) PNG that isn't interlaced; None for anything else."""
     try:
@@ -170,28 +199,13 @@ def decode_png(data: bytes) -> np.ndarray | None:
         if depth != 8 or per is None or interlaced:
             return None
         raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * per)
-        out = np.zeros((h, w, per), dtype=np.int64)
+        out, above = np.zeros((h, w, per), dtype=np.uint8), np.zeros(w * per, dtype=np.uint8)
         for y in range(h):
-            kind, line = raw[y, 0], raw[y, 1:].reshape(w, per).astype(np.int64)
-            up = out[y - 1] if y else np.zeros((w, per), np.int64)
-            if kind in (0, 2):
-                out[y] = (line + (up if kind == 2 else 0)) & 255
-                continue
-            left, corner = np.zeros(per, np.int64), np.zeros(per, np.int64)
-            for x in range(w):
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
-                    guess = (left + up[x]) // 2
-                else:
-                    p = left + up[x] - corner
-                    a, b, c = abs(p - left), abs(p - up[x]), abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up[x], corner))
-                out[y, x] = (line[x] + guess) & 255
-                left, corner = out[y, x], up[x]
+            above = _unfiltered(int(raw[y, 0]), raw[y, 1:], above, per)
+            out[y] = above.reshape(w, per)
         if per <= 2:
             return out[:, :, 0].astype(np.uint8)
-        return np.rint(out[:, :, :3] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
+        return np.rint(out[:, :, :3].astype(float) @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
     except (struct.error, zlib.error, ValueError, TypeError):
         return None
 

@@ -41,6 +41,12 @@ def write_json(df: DataFrame, path: str, pretty: bool = True) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"pretty": str(pretty).lower()}).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_compiled(rows: DataFrame, files: DataFrame, path: str) -> None:
+    """Images and texts for training as one Parquet table: image_path, ground_truth_text, content of the rows whose file (path, content) there is."""
+    held = files.select(F.col("path").alias("image_path"), "content")
+    rows.select("image_path", "ground_truth_text").join(held, "image_path").write.mode("overwrite").parquet(path)
+
+
 def write_lines(df: DataFrame, column: str, path: str) -> None:
     """One value a line: logs of missing files, lists of evaluation images."""
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)

@@ -1,5 +1,7 @@
 import io
+import struct
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -65,6 +67,38 @@ def test_files_crops_images_and_sidecars(spark, tmp_path):
     assert readers.first_existing(spark, [f"{tmp_path}/none", str(tmp_path)]) == str(tmp_path)
 
 
+def filtered_png(rgb, kinds):
+    """A PNG of colours whose rows are filtered in the given ways, byte by byte as the format says."""
+    h, w, per = rgb.shape
+    raw = b""
+    for y in range(h):
+        raw += bytes([kinds[y]])
+        for i in range(w * per):
+            at = lambda y, i: int(rgb[y, i // per, i % per]) if y >= 0 and i >= 0 else 0
+            a, b, c = at(y, i - per), at(y - 1, i), at(y - 1, i - per)
+            p = a + b - c
+            guess = [0, a, b, (a + b) // 2, min((a, b, c), key=lambda v: (abs(p - v), [a, b, c].index(v)))][kinds[y]]
+            raw += bytes([(at(y, i) - guess) % 256])
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def test_png_rows_of_every_filter():
+    rgb = np.random.default_rng(4).integers(0, 256, (15, 9, 3)).astype(np.uint8)
+    want = np.rint(rgb.astype(float) @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
+    assert (readers.decode_png(filtered_png(rgb, [0, 1, 2, 3, 4] * 3)) == want).all()
+    assert readers.decode_png(filtered_png(rgb, [0] * 15).replace(b"IDAT", b"IDAX")) is None
+
+
+def test_labelled_images_and_compiled_tables(spark, tmp_path):
+    images = spark.createDataFrame([("a/x.png", b"1"), ("a/y.png", b"2")], "path string, content binary")
+    labels = spark.createDataFrame([("b/x.txt",), ("b/z.txt",)], "path string")
+    assert [r.path for r in readers.labelled(images, labels).collect()] == ["a/x.png"]
+    rows = spark.createDataFrame([("a/x.png", "t", 1), ("a/q.png", "u", 2)], "image_path string, ground_truth_text string, n int")
+    sinks.write_compiled(rows, images, f"{tmp_path}/c")
+    assert [(r.image_path, r.ground_truth_text, bytes(r.content)) for r in spark.read.parquet(f"{tmp_path}/c").collect()] == [("a/x.png", "t", b"1")]
+
+
 def test_transcripts(spark, tmp_path):
     (tmp_path / "a.txt").write_text("﻿one\n\n \t\ntwo \r\nthree", encoding="utf-8")
     texts = readers.whole_texts(spark, str(tmp_path))

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 RESULT = "page_id long, host string, path string, rule string, verdict string"
 ROWS = 4096
+#: texts that are left of a batch before each goes on alone
+FEW = 4
 
 
 def canonical(url: str | None) -> tuple[str, str]:
@@ -73,6 +75,7 @@ class Automaton:
             finals.append(len(every) - 1)
         self.words = max(1, -(-len(every) // 64))
         self.step, self.loop = self._packed(every), self._packed(loops)
+        self.integers = [[int.from_bytes(row.astype("<u8").tobytes(), "little") for row in table] for table in (self.step, self.loop)]
         self.start = np.zeros(self.words, dtype=np.uint64)
         for p in starts:
             self.start[p // 64] |= np.uint64(1 << (p % 64))
@@ -94,6 +97,10 @@ class Automaton:
         at = np.concatenate([[0], np.cumsum(sizes[order])[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
         one, top = np.uint64(1), np.uint64(63)
         for t, n in enumerate(live):
+            if n <= FEW:  # the few longest go on alone, as integers
+                for k in range(n):
+                    out[k] = self._finished(out[k], texts[order[k]][t:])
+                break
             byte, now = data[at[:n] + t], out[:n]
             moved = now << one
             moved[:, 1:] |= now[:, :-1] >> top
@@ -102,6 +109,14 @@ class Automaton:
         back[order] = out
         return back
 
+    def _finished(self, state: np.ndarray, rest: bytes) -> np.ndarray:
+        """The state after the rest of one text."""
+        step, loop = self.integers
+        now, full = int.from_bytes(state.astype("<u8").tobytes(), "little"), (1 << 64 * self.words) - 1
+        for b in rest:
+            now = ((now << 1) & step[b]) | (now & loop[b])
+        return np.frombuffer((now & full).to_bytes(8 * self.words, "little"), dtype="<u8")
+
     def first(self, texts: list[bytes]) -> np.ndarray:
         """Index of the first pattern that fits each text, or -1."""
         found = np.full(len(texts), -1, dtype=np.int64)

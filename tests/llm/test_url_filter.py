@@ -40,6 +40,19 @@ def test_many_words_of_patterns_agree_with_single_matches():
     assert uf.Automaton([]).first([b"x"]).tolist() == [-1]
 
 
+def test_the_few_longest_go_on_alone(monkeypatch):
+    rng = random.Random(6)
+    globs = [re.sub(r"\*+", "*", "".join(rng.choice("ab/?*") for _ in range(rng.randint(1, 9)))) for _ in range(80)]
+    texts = ["".join(rng.choice("ab/") for _ in range(rng.randint(0, 40))).encode() for _ in range(200)]
+    states = []
+    for few in (0, 4, 1000):
+        monkeypatch.setattr(uf, "FEW", few)
+        states.append(uf.Automaton(globs).states(texts).tolist())
+    assert states[0] == states[1] == states[2]
+    monkeypatch.setattr(uf, "FEW", 4)
+    assert uf.Automaton(["a/**z"]).first([b"a/" + b"x/" * 500_000 + b"z", b"a/x"]).tolist() == [0, -1]
+
+
 def test_double_star_and_escapes():
     a = uf.Automaton(["a/**", r"\*b", "**z"])
     assert a.first([b"a/b/c", b"*b", b"xb", b"a/z", b"q/z", b"a"]).tolist() == [0, 1, -1, 0, 2, -1]

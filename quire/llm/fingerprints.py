@@ -126,27 +126,24 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def with_successors(docs: DataFrame, parts: int) -> DataFrame:
     """Columns _bucket, _copy, doc_id, text, dealt so that each row's successor, by descending doc_id, stands in its partition.
 
-    Buckets are ranges of doc_id cut at its quantiles; each ends with copies of
-    the row that begins the next one, and the last with those of the first.
-    Null ids come last; equal ids stand in the order of their texts.
+    Null ids come last; equal ids, however many, stand in the order of their texts' hashes and texts.  Buckets are ranges
+    of that order, cut where a range partitioning of its keys alone cuts; each ends with copies of
+    the row that begins the next one, and the last with those of the first.  Only rows alike in id and text stay in one bucket.
     """
-    ids = docs.select("doc_id")
-    cuts = ids.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10000).alias("q")).first()["q"] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    low = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else None
-    bucket = lambda c: F.lit(len(cuts)) - F.coalesce(F.size(F.filter(low, lambda q: q < c)), F.lit(0)) if cuts else F.lit(0)
-    placed = docs.select(F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(bucket(F.col("doc_id"))).cast("int").alias("_bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    heads = placed.groupBy("_bucket").agg(F.max("doc_id").alias("head")).orderBy("_bucket").collect()  # a row for each bucket
-    before = {b["_bucket"]: heads[i - 1]["_bucket"] for i, b in enumerate(heads)}
-    if not heads:
-        return placed.withColumn("_copy", F.lit(0))
-    starts = F.create_map(*[F.lit(x) for b in heads for x in (b["_bucket"], b["head"])]) if any(b["head"] is not None for b in heads) else None
-    head = F.element_at(starts, F.col("_bucket")).eqNullSafe(F.col("doc_id")) if starts is not None else F.lit(True)
-    back = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_bucket"))
-    own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("c"))
-    copy = F.struct(back.alias("b"), F.lit(1).alias("c"))
-    spread = placed.withColumn("_to", F.explode(F.when(head, F.array(own, copy)).otherwise(F.array(own))))
-    return spread.select(F.col("_to.b").alias("_bucket"), F.col("_to.c").alias("_copy"), "doc_id", "text").repartitionById(len(cuts) + 2, F.col("_bucket")).sortWithinPartitions("_bucket", "_copy", F.col("doc_id").desc_nulls_last(), "text")
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = placed.select("*", F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")).alias("d"), F.xxhash64("text").alias("k")).alias("_at"))
+    keys = keyed.select("_at.n", "_at.d", "_at.k").repartitionByRange(parts, "n", "d", "k")
+    firsts = sorted(tuple(r["first"]) for r in keys.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("n", "d", "k")).alias("first")).collect())  # a row for each bucket
+    if not firsts:
+        return placed.select(F.lit(0).alias("_bucket"), F.lit(0).alias("_copy"), "doc_id", "text")
+    cuts = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).cast("long").alias("d"), F.lit(k).cast("long").alias("k")) for n, d, k in firsts])
+    bucket = F.size(F.filter(cuts, lambda c: c <= F.col("_at"))) - 1
+    spread = keyed.withColumn("_own", bucket).withColumn("_head", F.element_at(cuts, F.col("_own") + 1) == F.col("_at"))
+    own = F.struct(F.col("_own").alias("b"), F.lit(0).alias("c"))
+    copy = F.struct(F.pmod(F.col("_own") - 1, F.lit(len(firsts))).alias("b"), F.lit(1).alias("c"))
+    spread = spread.withColumn("_to", F.explode(F.when(F.col("_head"), F.array(own, copy)).otherwise(F.array(own))))
+    dealt = spread.select(F.col("_to.b").alias("_bucket"), F.col("_to.c").alias("_copy"), "doc_id", "text", "_at").repartitionById(len(firsts), F.col("_bucket"))
+    return dealt.sortWithinPartitions("_bucket", "_copy", "_at", "text").select("_bucket", "_copy", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame, k: int = K, width: int = kernels.WIDTH, parts: int | None = None) -> DataFrame:

@@ -67,23 +67,35 @@ def test_columns_and_merged_groups(spark, messy):
     assert tuple(row) == (1.0, 0.0)
 
 
-def test_query_against_brute_force(messy, messy_rows):
-    rows = fp.fingerprints(messy, parts=4).collect()
-    order = sorted(messy_rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_query_against_brute_force(spark, messy, messy_rows):
+    more = [*messy_rows, *[(23, f"{x} {r[1]}", None, None, None) for x in "abc" for r in messy_rows[30:40]]]  # an id that many rows share
+    df = spark.createDataFrame([(r[0], r[1]) for r in more], "doc_id long, text string").repartition(5)
+    rows = fp.fingerprints(df, parts=4).collect()
+    hashes = {r.t: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("t")).select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(more, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1] or ""], r[1] or ""))
     assert len(rows) == len(order)
-    want = []
+    want, likeness = [], {}
     for i, r in enumerate(order):
         text, after = r[1] or "", order[(i + 1) % len(order)][1] or ""
         cut = len(text) // 3
-        want.append((r[0], len(text), hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()))
+        edited = text[: len(text) - cut] + after[:cut]
+        want.append((r[0], len(text), hashlib.sha256(edited.encode()).hexdigest()))
+        likeness[want[-1]] = [shingle_set(x) for x in (text, edited, after)]
     key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
     assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in rows), key=key) == sorted(want, key=key)
-    by_text = {r[0]: shingle_set(r[1]) for r in messy_rows}
-    marks = {}
+    marks, exact = {}, 0
     for r in rows:
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        if r.doc_id is not None:
-            assert marks.setdefault(frozenset(by_text[r.doc_id]), r.fingerprint) == r.fingerprint
+        own, edited, after = likeness[(r.doc_id, r.n_chars, r.edited_sha256)]
+        for got, other in ((r.near_edited, edited), (r.near_next, after)):
+            true, small = jaccard(own, other), len(own | other) <= fp.K
+            assert abs(got - true) <= (1e-12 if small else 5 * (true * (1 - true) / fp.K) ** 0.5 + 0.02)
+            exact += small
+        assert marks.setdefault(frozenset(own), r.fingerprint) == r.fingerprint
+    assert 0 < exact < 2 * len(rows)
 
 
 def test_few_rows(spark, empty):

@@ -54,7 +54,7 @@ def to_tasks(messages: DataFrame, tasks: int) -> DataFrame:
 def packed(rows: pa.RecordBatch) -> bytes:
     """Rows as compressed bytes."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
         writer.write_batch(rows)
     return sink.getvalue().to_pybytes()
 

@@ -61,18 +61,41 @@ def test_blank_and_single_lines_are_left_alone(spark, empty):
 
 
 def test_short_passages_are_always_found(spark):
-    """Passages of 2 to 5 lines, each in two texts between random lines, some with a blank line inside."""
+    """Passages of 2 to 10 lines, each in two texts between random lines, some with a blank line inside."""
     rng = random.Random(5)
     texts, planted = [], []
-    for k in range(80):
-        passage = [wordy(rng, 14) for _ in range(2 + k % 4)]
+    lengths = (2, 3, 4, 5, 6, 10)
+    for k in range(120):
+        passage = [wordy(rng, 14) for _ in range(lengths[k % 6])]
         planted.append(passage)
-        shown = [passage[0], *([""] if k % 8 > 3 else []), *passage[1:]]
+        shown = [passage[0], *([""] if k % 12 > 5 else []), *passage[1:]]
         texts += ["\n".join([wordy(rng, 9) for _ in range(rng.randrange(5))] + shown + [wordy(rng, 9) for _ in range(rng.randrange(5))]) for _ in range(2)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = {r.doc_id: r.text.split("\n") for r in ld.dedup_lines(df).collect()}
-    left = {n: sum(any(x in rows[2 * k + 1] for x in p) for k, p in enumerate(planted) if len(p) == n) for n in range(2, 6)}
-    assert left == {2: 0, 3: 0, 4: 0, 5: 0}
+    left = {n: sum(any(x in rows[2 * k + 1] for x in p) for k, p in enumerate(planted) if len(p) == n) for n in lengths}
+    assert left == dict.fromkeys(lengths, 0)
     assert all(x in rows[2 * k] for k, p in enumerate(planted) for x in p)
     shared = {x for p in planted for x in p} | {""}
     assert all(x in rows[i] for i, t in enumerate(texts) for x in t.split("\n") if x not in shared)
+
+
+def test_lines_that_go_are_those_of_repeated_pairs_and_long_lines(spark, messy):
+    """Without the operator's chunks: a line that isn't blank goes if it, with the next or the one before, or alone if it is long, stood earlier."""
+    rng = random.Random(6)
+    pool = [wordy(rng, 3, "ab") for _ in range(12)] + [""] * 4 + [wordy(rng, 60) for _ in range(2)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(messy.select("doc_id", "text").where("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 1000)).dropDuplicates().repartition(4)
+    seen, want = set(), {}
+    rows = sorted((r.doc_id, r.row, r.text) for r in df.withColumn("row", F.xxhash64("doc_id", "text")).collect())
+    for doc_id, row, text in rows:
+        lines = text.split("\n") if text is not None else []
+        full = [i for i, x in enumerate(lines) if x.strip(" ")]
+        gone = set()
+        for a, b in [*zip(full, full[1:], strict=False), *((i, i) for i in full if len(lines[i].split()) >= 50)]:
+            key = "\n".join(lines[a : b + 1])
+            if key in seen:
+                gone |= {a, b}
+            seen.add(key)
+        want[(doc_id, text)] = [lines[i] for i in full if i not in gone]
+    for r in ld.dedup_lines(df.withColumn("whole", F.col("text"))).collect():
+        assert [x for x in (r.text or "").split("\n") if x.strip(" ")] == want[(r.doc_id, r.whole)]

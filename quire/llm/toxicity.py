@@ -29,10 +29,10 @@ WINDOW = 64
 OVERLAP = 8
 LEVEL = 3
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8, 10)
-GRAMS = (5, 7)
+GRAMS = (6,)
 RATIO = 10.0
 #: toxic texts that must hold a string of their own: so many and this share
-LEAST, LEAST_SHARE = 4, 0.03
+LEAST, LEAST_SHARE = 4, 0.02
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 2048
 #: of the trainer: bytes of a segment, in the ordinary and the toxic dictionary, and of the strings it counts
 SEGMENT, TOXIC_SEGMENT, STRING = 64, 24, 6
@@ -105,11 +105,24 @@ def strings(word: str) -> set[bytes]:
     return {data[i : i + n] for n in GRAMS for i in range(len(data) - n + 1)}
 
 
+def text_words(text: str) -> set[str]:
+    return set(text.lower().split())
+
+
+def text_strings(text: str) -> set[bytes]:
+    """The byte strings in the words of a text."""
+    return set().union(*map(strings, text_words(text)))
+
+
 def toxic_samples(words: list[tuple[str, int]]) -> list[bytes]:
-    """What the trainer reads of (word, toxic texts that hold it): each word as often, in proportion where they are too many."""
+    """What the trainer reads of (word, toxic texts that hold it): each word as often, in proportion where they are too many.
+
+    In a random order, as the trainer takes one segment from each stretch of what it reads.
+    """
     words = sorted(words, key=lambda w: (-w[1], w[0]))[:TRAINER_WORDS]
     scale = min(1.0, TRAINER_WORDS / max(1, sum(n for _, n in words)))
-    return [padded(w) for w, n in words for _ in range(max(1, round(n * scale)))]
+    every = [padded(w) for w, n in words for _ in range(max(1, round(n * scale)))]
+    return [every[i] for i in np.random.default_rng(SEED).permutation(len(every))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -152,36 +165,36 @@ def _ordinary_dictionary(texts: DataFrame) -> bytes:
     return trained([bytes(r["part"]) for r in some.collect()], ORDINARY_BYTES, SEGMENT) or b" "
 
 
-def _toxic_dictionary(texts: DataFrame, n_toxic: int, n_ordinary: int) -> bytes:
-    """From the words around strings that are ``RATIO`` times as frequent in toxic texts."""
+def _held_by(texts: DataFrame, toxic: int, items, kind: str) -> DataFrame:
+    """item, texts: how many texts of a class hold each of what ``items(text)`` gives, a set."""
 
-    def words_of(batches):
-        for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = list(set(text.lower().split()))
-                yield pa.RecordBatch.from_arrays([pa.array(words, type=pa.string()), pa.array([toxic] * len(words), type=pa.int32())], names=["word", "toxic"])
+    def counted(batches):
+        held: dict = {}
+
+        def rows():
+            yield pa.RecordBatch.from_arrays([pa.array(held, type=pa.string() if kind == "string" else pa.binary()), pa.array(held.values(), type=pa.int64())], names=["item", "texts"])
 
-    def strings_of(batches):
-        for batch in batches:
-            words, ones, zeros = (batch.column(i).to_pylist() for i in range(3))
-            found = [(g, n, m) for w, n, m in zip(words, ones, zeros, strict=True) for g in strings(w)]
-            for i in range(0, len(found), 65536):
-                part = found[i : i + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in part], type=t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], names=["string", "ones", "zeros"])
-
-    held = texts.select("toxic", "text").mapInArrow(words_of, "word string, toxic int")
-    words = written(held.groupBy("word").agg(F.sum(F.col("toxic")).cast("long").alias("ones"), F.sum(1 - F.col("toxic")).cast("long").alias("zeros")), "toxic-words")
-    counted = words.mapInArrow(strings_of, "string binary, ones long, zeros long").groupBy("string").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    often = F.col("ones") >= max(LEAST, LEAST_SHARE * n_toxic)
-    own = {bytes(r["string"]) for r in counted.where(often & (F.col("ones") / n_toxic > RATIO * (F.col("zeros") + 0.5) / n_ordinary)).select("string").collect()}  # few, as each is in a share of the texts
-
-    def around(batches):
         for batch in batches:
-            keep = [not own.isdisjoint(strings(w)) for w in batch.column(0).to_pylist()]
-            yield batch.filter(pa.array(keep, type=pa.bool_()))
+            for text in batch.column(0).to_pylist():
+                for x in items(text):
+                    held[x] = held.get(x, 0) + 1
+                if len(held) > 500_000:
+                    yield from rows()
+                    held.clear()
+        yield from rows()
 
-    found = words.where("ones > 0").select("word", "ones").mapInArrow(around, "word string, ones long").orderBy(F.desc("ones"), "word").limit(TRAINER_WORDS)
-    return trained(toxic_samples([(r["word"], r["ones"]) for r in found.collect()]), TOXIC_BYTES, TOXIC_SEGMENT) or b" "
+    found = texts.where(F.col("toxic") == toxic).select("text").mapInArrow(counted, f"item {kind}, texts long")
+    return found.groupBy("item").agg(F.sum("texts").alias("texts"))
+
+
+def _toxic_dictionary(texts: DataFrame, n_toxic: int, n_ordinary: int) -> bytes:
+    """From the words around strings that ``RATIO`` times as many toxic texts hold."""
+    least = max(LEAST, LEAST_SHARE * n_toxic)
+    often = {bytes(r["item"]): r["texts"] for r in _held_by(texts, 1, text_strings, "binary").where(F.col("texts") >= least).collect()}  # few, as each is in a share of the texts
+    plain = {bytes(r["item"]): r["texts"] for r in _held_by(texts, 0, lambda t: text_strings(t) & often.keys(), "binary").collect()}
+    own = {g for g, n in often.items() if n / n_toxic > RATIO * (plain.get(g, 0) + 0.5) / n_ordinary}
+    found = _held_by(texts, 1, lambda t: {w for w in text_words(t) if not own.isdisjoint(strings(w))}, "string").orderBy(F.desc("texts"), "item").limit(TRAINER_WORDS)
+    return trained(toxic_samples([(r["item"], r["texts"]) for r in found.collect()]), TOXIC_BYTES, TOXIC_SEGMENT) or b" "
 
 
 def fit(texts: DataFrame, share: float) -> Model:

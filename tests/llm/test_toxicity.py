@@ -47,14 +47,10 @@ def plainly(rows, share):
     toxic, ordinary = [t for t, y in rows if y], [t for t, y in rows if not y]
     windows = sorted((tx.window_rank(w), w) for t in ordinary for w in tx.trainer_windows(t))[: tx.TRAINER_WINDOWS]
     common = tx.trained([w for _, w in windows], tx.ORDINARY_BYTES, tx.SEGMENT) or b" "
-    words = [Counter(w for t in texts for w in set(t.lower().split())) for texts in (toxic, ordinary)]
-    grams = [Counter(), Counter()]
-    for found, of in zip(grams, words, strict=True):
-        for w, n in of.items():
-            for g in tx.strings(w):
-                found[g] += n
+    words = Counter(w for t in toxic for w in set(t.lower().split()))
+    grams = [Counter(g for t in texts for g in {g for w in t.lower().split() for g in tx.strings(w)}) for texts in (toxic, ordinary)]
     own = {g for g, n in grams[0].items() if n >= max(tx.LEAST, tx.LEAST_SHARE * len(toxic)) and n / len(toxic) > tx.RATIO * (grams[1][g] + 0.5) / len(ordinary)}
-    bad = tx.trained(tx.toxic_samples([(w, n) for w, n in words[0].items() if tx.strings(w) & own]), tx.TOXIC_BYTES, tx.TOXIC_SEGMENT) or b" "
+    bad = tx.trained(tx.toxic_samples([(w, n) for w, n in words.items() if tx.strings(w) & own]), tx.TOXIC_BYTES, tx.TOXIC_SEGMENT) or b" "
     x = np.array([tx.features(t, common, bad) for t, _ in rows])
     order = sorted(range(len(rows)), key=lambda i: (rows[i][1], x[i].tolist()))
     return tx.Model(common, bad, tx.calibrated(x[order], np.array([float(rows[i][1]) for i in order]), share))
@@ -80,6 +76,20 @@ def test_dictionaries_come_from_the_trainer_and_long_texts_teach_to_their_end(sp
     assert model.ordinary[:4] == magic and any(w.encode() in model.toxic for w in BAD)
 
 
+def test_frequent_words_do_not_crowd_out_the_rest(spark):
+    """Every word of a kind that toxic texts share is in the dictionary, however often the first ones occur."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(900):
+        words, bad = wordy(rng, 60).split(), i % 3 == 0
+        for _ in range(5 if bad else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(BAD[:1] * 12 + BAD))
+        rows.append((i, " ".join(words), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = tx.train(df, df.select("doc_id", "toxic"))
+    assert model.toxic[:4] == model.ordinary[:4] and all(w[1:-1].encode() in model.toxic for w in BAD)
+
+
 def test_edge_cases(spark, messy, messy_rows, empty):
     model = tx.fit(spark.createDataFrame([(y, t) for _, t, y in corpus(60, 5)], "toxic int, text string"), 0.2)
     out = tx.score_documents(messy, model, keep=("text",)).collect()

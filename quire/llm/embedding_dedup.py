@@ -27,6 +27,8 @@ from quire.llm.storage import written
 COSINE = 0.93
 #: bounds: vectors a pivot stands for, pivots in all (they are broadcast), vectors in a block
 CELL, PIVOTS, BLOCK = 4096, 2048, 2048
+#: bytes of all pivots, at most
+PIVOT_BYTES = 32 << 20
 SLACK = 1e-7
 CLOSE = 1e-10
 
@@ -60,6 +62,8 @@ def _matrix(column) -> np.ndarray:
 
 def choose_pivots(units: DataFrame, e: float, cell: int = CELL, most: int = PIVOTS) -> tuple[dict[str, np.ndarray], bool]:
     """Pivots of each of the ``most`` largest groups, and whether there are more groups: those of its ids first by hash that lie farther than e apart, one for ``cell`` vectors and one at least."""
+    longest = units.agg(F.coalesce(F.max(F.octet_length("unit")), F.lit(8))).first()[0]
+    most = max(1, min(most, PIVOT_BYTES // longest))
     largest = units.groupBy("grp").count().orderBy(F.desc("count"), "grp").limit(most + 1).collect()
     counts = {r["grp"]: r["count"] for r in largest[:most]}
     scale = max(cell, sum(counts.values()) / max(1, most - len(counts)))
@@ -117,13 +121,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
     spark, e = vectors.sparkSession, math.sqrt(2 - 2 * cosine)
     units = written(unit_rows(vectors), "units")
     pivots, more = choose_pivots(units, e, cell, most)
-    names = {g: i for i, g in enumerate(sorted(pivots))}
+    shared, groups = spark.sparkContext.broadcast(pivots), sorted(pivots)  # PIVOT_BYTES at most
+    names = {g: i for i, g in enumerate(groups)}
     first = dict(zip(names, np.cumsum([0, *(len(pivots[g]) for g in names)])[:-1].tolist(), strict=True)) if names else {}
     total = sum(len(p) for p in pivots.values())
     core = e / 2 - SLACK
 
     def placed(batch):
         """Of each group in a batch: rows, units, distances to its pivots, home cell."""
+        pivots = shared.value
         by: dict[str, list[int]] = {}
         for i, g in enumerate(batch.column(1).to_pylist()):
             if g in pivots:
@@ -151,11 +157,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
     radius, inner, n_core, least = np.zeros(total), np.zeros(total), np.zeros(total, np.int64), np.zeros(total, np.int64)
     for r in stats:
         radius[r["c"]], inner[r["c"]], n_core[r["c"]], least[r["c"]] = r["radius"], r["inner"], r["n"], r["least"]
-    bisector = {g: np.maximum(1e-12, _distances(p, p)) for g, p in pivots.items()}
+    bisectors = spark.sparkContext.broadcast({g: np.maximum(1e-12, _distances(p, p)) for g, p in pivots.items()})  # the square of a group's pivots, PIVOTS squared numbers at most
+    del pivots
 
     def roles(g, d, home):
         """For each cell of the group: its number, and masks of core, rest, visitor, full, unsure rows."""
-        own = d[np.arange(len(d)), home]
+        own, bisector = d[np.arange(len(d)), home], bisectors.value
         for k in range(d.shape[1]):
             c, here = first[g] + k, home == k
             visits = (home < k) & (d[:, k] <= radius[c] + e + SLACK) & (d[:, k] ** 2 - own**2 <= 2 * (e + SLACK) * bisector[g][home, k])
@@ -256,7 +263,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
     else:
         joined = spark.createDataFrame([], "vec_id long, links long, other long")
     if more:
-        others = without_pivots(units, list(pivots), block)
+        others = without_pivots(units, groups, block)
         joined = joined.unionByName(others.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(linked, "vec_id long, links long, other long"))
     joined = written(joined, "links")
     links = joined.groupBy("vec_id").agg(F.sum("links").alias("n_links"))

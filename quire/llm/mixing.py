@@ -47,7 +47,10 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, source_size, target of a table with one row (source, source_size) for each source."""
+    """source, source_size, target of a table with one row (source, source_size) for each source.
+
+    Windows go over that whole table, in one task: a row for each source is all it holds.
+    """
     every, ordered = Window.partitionBy(), Window.orderBy(F.col("source").asc_nulls_last())
     place = (F.row_number().over(ordered) - 1) % len(weights)
     weighed = sizes.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int"))).withColumn("total", share * F.sum("source_size").over(every))

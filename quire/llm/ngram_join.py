@@ -369,7 +369,7 @@ def compare_families(members: DataFrame, texts: DataFrame, width: int, percent:
     if not large.limit(1).count():
         return first
     parts = written(components(first), "parts")
-    named = large.join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("part", F.coalesce("component", "set")).drop("component")
+    named = written(large.join(parts.withColumnRenamed("node", "set"), "set", "left").withColumn("part", F.coalesce("component", "set")).drop("component"), "named")  # a table, so that its parts are not counted where families meet
     main = named.groupBy("family", "part").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
     rest = written(_blocks(named.join(main, "family").where("part != main").select("family", "class", "set", "_id"), block, "r"), "rest")
     left_blocks = rest.select("family", F.col("class").alias("c1"), "r").distinct()

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quire.functions import signal
-from quire.operators import pages
+from quire.operators import image, pages
 from quire.plans.lines import table
 from quire.sources import readers
 
@@ -97,10 +97,56 @@ def brightness_clip(spark, sf_dir):
     return _levels(spark, sf_dir).select("vec_id", F.round(signal.total(signal.brightness(F.transform("v", lambda x: x.cast("double")), 1.1, -12.0)), 4).alias("total"))
 
 
+PIXELS = f"{LEVELS}, p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v[i + 1] AS v FROM (SELECT vec_id, v, unnest(range(0, 64)) AS i FROM g))"
+
+
+def _by_image(spark, sf_dir, schema: str, of):
+    """vec_id and what ``of(8 x 8 grey levels)`` returns."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def each(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(i, *of(np.asarray(v, dtype=np.uint8).reshape(8, 8))) for i, v in zip(pdf["vec_id"], pdf["v"], strict=True)], columns=["vec_id", *names])
+
+    return _levels(spark, sf_dir).mapInPandas(each, f"vec_id long, {schema}")
+
+
+@query("distance_transform", f"WITH {PIXELS}, d AS (SELECT a.vec_id, a.y, a.x, min(sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))) AS d FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.v >= 128 WHERE a.v < 128 GROUP BY ALL) SELECT vec_id, round(sum(d), 5) AS total, round(max(d), 5) AS furthest FROM d GROUP BY vec_id")
+def distance_transform(spark, sf_dir):
+    """Distances of ink to the nearest blank pixel, of grids that have both."""
+
+    def of(grey):
+        d = image.distance_to_blank(grey < 128)
+        return float(d.sum()), float(d.max()), bool((grey < 128).any() and (grey >= 128).any())
+
+    return _by_image(spark, sf_dir, "total double, furthest double, mixed boolean", of).where("mixed").select("vec_id", F.round("total", 5).alias("total"), F.round("furthest", 5).alias("furthest"))
+
+
+ROUND = "o(dy, a, b) AS (VALUES (-2, 0, 0), (-1, -2, 2), (0, -2, 2), (1, -2, 2), (2, 0, 0))"
+
+
+@query("closing_round", f"WITH {PIXELS}, {ROUND}, h AS (SELECT q.vec_id, q.y, q.x, max(p.v) AS v FROM p q JOIN o ON true JOIN p ON p.vec_id = q.vec_id AND p.y = q.y + dy AND p.x BETWEEN q.x + a AND q.x + b GROUP BY ALL), c AS (SELECT q.vec_id, q.y, q.x, min(h.v) AS v FROM p q JOIN o ON true JOIN h ON h.vec_id = q.vec_id AND h.y = q.y + dy AND h.x BETWEEN q.x + a AND q.x + b GROUP BY ALL) SELECT vec_id, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (y * 8 + x)) AS BIGINT) AS placed FROM c GROUP BY vec_id")
+def closing_round(spark, sf_dir):
+    """The background of a grid: greatest, then least level of a round neighbourhood of 5."""
+
+    def of(grey):
+        c = image.closing(grey, [(d, -half, half) for d, half in image.ellipse(5)]).astype(int).ravel()
+        return int(c.sum()), int((c * np.arange(64)).sum())
+
+    return _by_image(spark, sf_dir, "total long, placed long", of)
+
+
+_REFLECTED = "CASE WHEN {0} < 0 THEN -{0} WHEN {0} > 7 THEN 14 - {0} ELSE {0} END"
+
+
+@query("sauvola_ink", f"WITH {PIXELS}, k AS (SELECT unnest(range(-2, 3)) AS d), n AS (SELECT q.vec_id, q.y, q.x, q.v AS own, avg(p.v::DOUBLE) AS m, avg(p.v::DOUBLE * p.v) AS m2 FROM p q JOIN k a ON true JOIN k b ON true JOIN p ON p.vec_id = q.vec_id AND p.y = {_REFLECTED.format('(q.y + a.d)')} AND p.x = {_REFLECTED.format('(q.x + b.d)')} GROUP BY ALL) SELECT vec_id, count(*) FILTER (WHERE own <= m * (1 + 0.2 * (sqrt(greatest(m2 - m * m, 0)) / 127.5 - 1))) AS ink FROM n GROUP BY vec_id")
+def sauvola_ink(spark, sf_dir):
+    """Pixels at or below the local threshold of windows of 5."""
+    return _by_image(spark, sf_dir, "ink long", lambda grey: (int((image.sauvola(grey, image.Recipe(window=5)) == 0).sum()),))
+
+
 def _pages(pdf: pd.DataFrame):
     """A 96 x 128 page of text-like lines for each vector, slightly skewed."""
-    from quire.operators import image
-
     for vec_id, v in zip(pdf["vec_id"], pdf["v"], strict=True):
         v = np.asarray(v, dtype=float)
         page = np.full((96, 128), 255.0)
@@ -118,8 +164,6 @@ def page_images(spark, sf_dir):
     """Deskew, denoise, Sauvola binarisation, line segmentation, seam crops and augmentation of a page for each vector."""
 
     def each(batches):
-        from quire.operators import image
-
         for pdf in batches:
             out = []
             for vec_id, grey in _pages(pdf):

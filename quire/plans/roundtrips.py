@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import columns
+from quire.operators import columns, pages
 from quire.operators.order import numbered
 from quire.plans.lines import table
 from quire.sources import readers, sinks
@@ -226,3 +226,46 @@ def column_rules(spark, sf_dir):
 def log_mentions(spark, sf_dir):
     found = table(spark, sf_dir, "events").select("event_type", columns.log_mentions(F.col("props"), "1", "out of memory").alias("m"))
     return found.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("m").alias("mentioned"))
+
+
+@query("two_places", "SELECT n_nationkey, n_name, unnest(['first', 'second']) AS place FROM nation")
+def two_places(spark, sf_dir):
+    """The same rows written to two places."""
+    paths = {p: scratch(spark, p) for p in ("first", "second")}
+    sinks.write_everywhere(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), list(paths.values()))
+    first, second = (columns.with_constants(readers.csv(spark, path), place=p) for p, path in paths.items())
+    return first.unionByName(second).select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", "place")
+
+
+@query("backup_rows", "SELECT 'now' AS version, r_regionkey + 10 AS r_regionkey FROM region UNION ALL SELECT 'before', r_regionkey FROM region")
+def backup_rows(spark, sf_dir):
+    """A table kept under the time before it is overwritten."""
+    path, rows = f"{scratch(spark, 'kept')}/rows", table(spark, sf_dir, "region").select("r_regionkey")
+    sinks.write_csv(rows, path)
+    kept = sinks.backup(spark, path)
+    sinks.write_csv(rows.withColumn("r_regionkey", F.col("r_regionkey") + 10), path)
+    now, before = (columns.with_constants(readers.csv(spark, at), version=v) for v, at in (("now", path), ("before", kept)))
+    return now.unionByName(before).select("version", F.col("r_regionkey").cast("int").alias("r_regionkey"))
+
+
+@query("first_folder", "SELECT n_name FROM nation")
+def first_folder(spark, sf_dir):
+    """The first of several places that exists."""
+    path = scratch(spark, "there")
+    table(spark, sf_dir, "nation").select("n_name").write.parquet(path)
+    return spark.read.parquet(readers.first_existing(spark, [f"{path}-not", path, f"{path}-nor"]))
+
+
+@query("recognised_images", f"WITH {LEVELS} SELECT vec_id, CAST(list_sum(v) AS BIGINT) || ' of ' || list_max(v) AS prediction FROM g")
+def recognised_images(spark, sf_dir):
+    """A stand-in recogniser called with batches of images; white space is collapsed."""
+    held = _images(spark, sf_dir).withColumnRenamed("content", "png")
+    return pages.recognised(held, lambda greys: [f" {int(g.sum())}  of\n{g.max()} " for g in greys]).select("vec_id", "prediction")
+
+
+@query("detected_regions", f"WITH {LEVELS}, b AS (SELECT vec_id, unnest([0, 1]) AS box_no, v, unnest([v[1] / 64.0, v[2] / 32.0]) AS x1, unnest([5.5, 6.0]) AS x2, unnest([v[3], v[4]]) / 255.0 AS conf FROM g), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x1, box_no) AS no, count(*) OVER (PARTITION BY vec_id) AS n FROM b WHERE conf >= 0.25) SELECT 'v' || vec_id || '_' || CASE WHEN n = 1 THEN 'full' WHEN no = 1 THEN 'left' ELSE 'right' END || '.png' AS name, CAST(greatest(0, trunc(x1) - 1) AS INTEGER) AS x1, CAST(least(8, trunc(x2) + 1) AS INTEGER) AS x2 FROM k WHERE greatest(0, trunc(x1) - 1) < least(8, trunc(x2) + 1)")
+def detected_regions(spark, sf_dir):
+    """A stand-in detector's boxes, sure enough, padded, kept inside the page and cut out from the left."""
+    files = _images(spark, sf_dir).select(F.concat(F.lit("pages/v"), F.col("vec_id").cast("string"), F.lit(".png")).alias("path"), "content")
+    found = pages.detections(files, lambda g: [(g[0, 0] / 64.0, 0.0, 5.5, 8.0, g[0, 2] / 255.0), (g[0, 1] / 32.0, 1.0, 6.0, 7.0, g[0, 3] / 255.0)])
+    return pages.region_images(files, found, 1).select("name", "x1", "x2")

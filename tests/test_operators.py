@@ -128,14 +128,14 @@ def test_entry(spark):
     assert rows and 0 < rows[0].cer < 1
 
 
-@pytest.mark.parametrize("name", ["align_full_outer", "early_stop", "seam_dp", "natural_sort_rank", "chrf_corpus", "stratified_split", "valley_argmin", "otsu_threshold"])
+@pytest.mark.parametrize("name", ["align_full_outer", "early_stop", "seam_dp", "natural_sort_rank", "chrf_corpus", "stratified_split", "valley_argmin", "otsu_threshold", "near_copy_cer", "csv_roundtrip", "manifest_limit", "transcript_files", "image_files", "backup_rows", "label_boxes", "closing_round", "detected_regions"])
 def test_queries_agree_with_sql(spark, sf_dir, name):
     import duckdb
 
     from quire.plans import catalog
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "events", "pages"):
+    for t in ("documents", "embeddings", "events", "pages", "nation", "region", "lineitem"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got, want = catalog.queries()[name](spark, sf_dir).toPandas(), con.execute(catalog.oracle_sql()[name]).df()
     columns = sorted(want.columns)

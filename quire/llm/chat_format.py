@@ -30,6 +30,12 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _before(lengths: Column) -> Column:
+    """Of each length, the sum of those before it: one pass that grows a list of numbers."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
 def format_conversations(turns: DataFrame, masked: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss_spans array<struct<start,length>> (code points from 0).
 
@@ -45,19 +51,22 @@ def format_conversations(turns: DataFrame, masked: str = "assistant") -> DataFra
     runs = _let(begins, lambda b: F.transform(b, lambda s, j: F.struct(F.element_at("turns", s)["role"].alias("role"), F.transform(F.slice("turns", s, F.coalesce(F.get(b, j + 1), n + 1) - s), lambda t: escape(t["text"])).alias("texts"))))
     merged = held.select("conv_id", runs.alias("runs"))
     formatted = F.concat(F.array_join(F.transform("runs", lambda r: F.concat(F.lit(START), escape(r["role"]), F.lit(TEXT), F.array_join(r["texts"], NEXT))), END), F.lit(END))
-    span = "array<struct<start:int,length:int>>"
-
-    def texts(acc: Column, run: Column) -> Column:
-        first = acc["at"] + len(START) + F.length(escape(run["role"])) + len(TEXT)
-        inner = F.aggregate(
-            run["texts"],
-            F.struct(first.alias("at"), acc["spans"].alias("spans")),
-            lambda a, t: F.struct((a["at"] + F.length(t) + len(NEXT)).alias("at"), F.when(run["role"] == masked, F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), F.length(t).alias("length"))))).otherwise(a["spans"]).alias("spans")),
-        )
-        return _let(inner, lambda x: F.struct((x["at"] - len(NEXT) + len(END)).alias("at"), x["spans"].alias("spans")))
-
-    spans = F.aggregate("runs", F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans")), texts, lambda a: a["spans"])
-    return merged.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+    spans = "array<struct<start:int,length:int>>"
+
+    def before(run: Column) -> Column:
+        return len(START) + F.length(escape(run["role"])) + len(TEXT)
+
+    def length(run: Column) -> Column:
+        return before(run) + F.aggregate(run["texts"], F.lit(0), lambda a, t: a + F.length(t)) + len(NEXT) * (F.size(run["texts"]) - 1) + len(END)
+
+    def inside(run: Column, start: Column) -> Column:
+        lengths = F.transform(run["texts"], lambda t: F.length(t))
+        return _let(F.struct(_before(lengths).alias("at"), lengths.alias("n")), lambda x: F.transform(x["n"], lambda n, j: F.struct((start + before(run) + F.get(x["at"], j) + len(NEXT) * j).alias("start"), n.alias("length"))))
+
+    def masks(starts: Column) -> Column:
+        return F.flatten(F.transform("runs", lambda r, i: F.when(r["role"] == masked, inside(r, F.get(starts, i))).otherwise(F.array().cast(spans))))
+
+    return merged.select("conv_id", formatted.alias("formatted"), _let(_before(F.transform("runs", length)), masks).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:

@@ -119,7 +119,7 @@ def cer_joined_corpus(spark, sf_dir):
     return joined.agg(F.count("*").alias("pages")).crossJoin(out).select("pages", "edits", "chars", F.round("cer", 6).alias("cer"))  # one row each
 
 
-@query("near_copy_cer", f"WITH {LINES}, k AS (SELECT doc_id, string_split(text, chr(10))[1] AS k FROM documents), f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS first_id FROM k), c AS (SELECT f.doc_id, f.first_id, h.line_no, h.ref FROM f JOIN h ON f.doc_id = h.doc_id WHERE f.doc_id <> f.first_id) SELECT c.doc_id, c.first_id, CAST(sum(CASE WHEN o.ref IS NULL THEN length(c.ref) WHEN o.ref = c.ref THEN 0 ELSE {DISTANCE.format('o.ref', 'c.ref')} END) AS BIGINT) AS edits, CAST(sum(length(c.ref)) AS BIGINT) AS chars FROM c LEFT JOIN h o ON o.doc_id = c.first_id AND o.line_no = c.line_no GROUP BY ALL")
+@query("near_copy_cer", f"WITH {LINES}, k AS (SELECT doc_id, string_split(text, chr(10))[1] AS k FROM documents), f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS first_id FROM k), c AS (SELECT f.doc_id, f.first_id, h.line_no, h.ref FROM f JOIN h ON f.doc_id = h.doc_id WHERE f.doc_id <> f.first_id), p AS (SELECT c.doc_id, c.first_id, c.ref, o.ref AS o, list_distinct(string_split(coalesce(o.ref, '') || c.ref, '')) AS k FROM c LEFT JOIN h o ON o.doc_id = c.first_id AND o.line_no = c.line_no) SELECT doc_id, first_id, CAST(sum(CASE WHEN o IS NULL THEN length(ref) WHEN o = ref THEN 0 ELSE {DISTANCE.format('o', 'ref')} END) AS BIGINT) AS edits, CAST(sum(length(ref)) AS BIGINT) AS chars FROM p GROUP BY ALL")
 def near_copy_cer(spark, sf_dir):
     """Edits of documents against the first that begins with the same line, whole line by whole line."""
     key = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64(F.split("text", "\n")[0]).alias("k"))

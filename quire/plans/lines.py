@@ -59,9 +59,9 @@ PIECES = rf"""{KEPT} parts AS (SELECT doc_id, lang, source, line_no, list_filter
 cut AS (SELECT *, unnest(range(0, (len(w) - 1) // {WORDS} + 1)) AS piece FROM parts),
 refs AS (SELECT doc_id, lang, source, line_no, piece, array_to_string(w[piece * {WORDS} + 1 : piece * {WORDS} + {WORDS}], ' ') AS ref FROM cut),
 h AS (SELECT *, {MISREAD} FROM refs)"""
-#: a text with every distinct character of a pair as one byte, as the SQL distance counts bytes
-BYTES = "array_to_string(list_transform(string_split({0}, ''), lambda c: chr(CAST(1 + list_position(list_distinct(string_split({1} || {2}, '')), c) AS INTEGER))), '')"
-DISTANCE = f"levenshtein({BYTES.format('{0}', '{0}', '{1}')}, {BYTES.format('{1}', '{0}', '{1}')})"
+#: distance of characters of two columns, each distinct one (listed in column k) as one byte, as the SQL distance counts bytes
+BYTES = "array_to_string(list_transform(string_split({0}, ''), lambda c: chr(CAST(1 + list_position(k, c) AS INTEGER))), '')"
+DISTANCE = f"levenshtein({BYTES.format('{0}')}, {BYTES.format('{1}')})"
 TOKENS = r"""list_filter(string_split_regex({0}, '\s+'), lambda x: x <> '')"""
 CODED = "array_to_string(list_transform({0}, lambda w: chr(CAST(32 + list_position(list_distinct(list_concat(rw, hw)), w) AS INTEGER))), '')"
 EDITS = f"""tok AS (SELECT *, {TOKENS.format('ref')} AS rw, {TOKENS.format('hyp')} AS hw FROM h),

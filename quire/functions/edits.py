@@ -129,7 +129,9 @@ def gram_counts(ref: Column, hyp: Column, orders: int = ORDERS, spaces: bool = T
                 a, b = _codes(refs), _codes(hyps)
                 for n in range(1, orders + 1):
                     (ka, ca, ra), (kb, cb, rb) = _grams(*a, n), _grams(*b, n)
-                    _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+                    i = np.minimum(np.searchsorted(ka, kb), max(0, len(ka) - 1))  # both are sorted
+                    j = np.flatnonzero(ka[i] == kb) if len(ka) else np.zeros(0, np.int64)
+                    i = i[j]
                     for column, rows, counts in ((0, ra[i], np.minimum(ca[i], cb[j])), (1, ra, ca), (2, rb, cb)):
                         out[:, 3 * n - 3 + column] = np.bincount(rows, weights=counts, minlength=len(refs))
             yield pd.Series(list(out))

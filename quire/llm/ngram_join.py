@@ -37,6 +37,8 @@ PERCENT = 80
 SHORT = 64
 #: sets of a block, at most and at least; sets of each size class of a family that all its blocks are compared with
 BLOCK, LEAST_BLOCK, CENTRES = 512, 64, 4
+#: large families whose sizes may be broadcast
+FEW = 1 << 20
 #: bytes of texts in a chunk; shingles in a bucket, which decides how many buckets there are
 CHUNK, BUCKET = 3 << 20, 1 << 22
 _U = np.uint64
@@ -342,29 +344,33 @@ def family_links(members: DataFrame, width: int, percent: int = PERCENT) -> Data
 
 
 def _blocks(members: DataFrame, block: int, label: str) -> DataFrame:
-    """members with the block of each: a number below that of its family's blocks of its size class, by hash; a family that fits has one block."""
+    """members with the block of each: a number below that of its family's blocks of its size class, by hash."""
     classes = members.groupBy("family", "class").agg(F.ceil(F.count("*") / block).cast("long").alias("_n"))
     return members.join(classes, ["family", "class"]).withColumn(label, F.pmod(F.xxhash64("set"), F.col("_n"))).drop("_n")
 
 
 def compare_families(members: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
-    """(a, b) of set ids, the links of all families reduced to forests; members: family, set, _id, n; texts: _doc, text."""
+    """(a, b) of set ids, the links of all families reduced to forests; members: family, set, _id, n; texts: _doc, text.
+
+    A family of up to ``block`` sets is one task.
+    """
 
     def linked(rows: DataFrame, name: str) -> DataFrame:
         return written(family_links(rows.join(texts, F.col("_id").eqNullSafe(F.col("_doc"))), width, percent), name)
 
-    sizes = members.groupBy("family").agg(F.count("*").alias("_size"))
-    step = math.log(100 / percent)
-    split = F.when(F.col("_size") > block, F.floor(F.log(F.col("n").cast("double")) / step)).otherwise(0)  # sets that link are of one class or of neighbouring ones
-    placed = written(_blocks(members.join(sizes, "family").select("family", "set", "_id", (F.col("_size") > block).alias("many"), split.cast("long").alias("class")), block, "b"), "members")
+    sizes = written(members.groupBy("family").agg(F.count("*").alias("_size")).where(F.col("_size") > block), "large")
+    few = sizes.count() <= FEW  # then they may be broadcast, and the members of small families are not shuffled by family
+    marked = members.join(F.broadcast(sizes) if few else sizes, "family", "left")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))  # sets that link are of one class or of neighbouring ones
+    large = written(_blocks(marked.where("_size is not null").select("family", "set", "_id", size_class.cast("long").alias("class")), block, "b"), "members")
     near = lambda c: F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias(c)
-    large = placed.where("many")
     picks = [F.min_by(F.struct("set", "_id"), F.xxhash64(F.lit(k), "set")).alias(f"p{k}") for k in range(CENTRES)]
     centres = large.groupBy("family", "class").agg(*picks).select("family", "class", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(CENTRES)]))).alias("p")).select("family", (F.col("class")).alias("c0"), near("d"), "p.set", "p._id")
     blocks = large.select("family", "class", "b").distinct()
     met = centres.select("family", (F.col("c0") + F.col("d")).alias("class"), "set", "_id").join(blocks, ["family", "class"])
     task = lambda *c: F.struct(*[F.coalesce(F.col(x), F.lit(0)).alias(x) for x in c])
-    own = placed.select(F.xxhash64(task("family", "class", "b")).alias("task"), "set", "_id", F.lit(2).alias("side"))
+    own = large.select(F.xxhash64(task("family", "class", "b")).alias("task"), "set", "_id", F.lit(2).alias("side"))
+    own = own.unionByName(marked.where("_size is null").select(F.xxhash64(task("family")).alias("task"), "set", "_id", F.lit(2).alias("side")))
     first = linked(own.unionByName(met.select(F.xxhash64(task("family", "class", "b")).alias("task"), "set", "_id", F.lit(1).alias("side"))), "links")
     if not large.limit(1).count():
         return first
@@ -413,7 +419,7 @@ def join_components(docs: DataFrame, width: int = kernels.WIDTH, percent: int =
     families = written(components(candidate_edges(texts, tasks, parts, width, percent, short, chunk)), "families")
     release(spark)
     sets = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("_id"), F.max("n_shingles").alias("n"))
-    members = sets.join(families.select(F.col("node").alias("set"), F.col("component").alias("family")), "set")
+    members = written(sets.join(families.select(F.col("node").alias("set"), F.col("component").alias("family")), "set"), "family-sets")
     largest = families.groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     block = int(min(block, max(min(block, LEAST_BLOCK), largest / tasks)))  # so that the largest family is spread over the partitions
     texts_by_id = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,13 @@ def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return held[0] if len(held) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays([h.column(i) for h in held]) for i in range(held[0].num_columns)], schema=held[0].schema)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system where the C library can, as workers stay alive between tasks."""
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 def to_tasks(messages: DataFrame, tasks: int) -> DataFrame:
     """Messages dealt so that each of so many tasks gets its buckets one after the other."""
     return messages.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket", "chunk")

@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, and SQL for those that SQL can express."""
+"""The operators as queries over the driver's tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, embedding_dedup, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, packing, toxicity, url_filter
+from quire.llm import chat_format, decontaminate, embedding_dedup, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, packing, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROBE = "\\### Assistant: </turn> ok"
@@ -72,6 +72,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(_documents(spark, sf_dir))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 _OP2 = """
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
@@ -141,9 +145,36 @@ v AS (SELECT * FROM d WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter
 ), reach(id, r) AS (SELECT vec_id, vec_id FROM d UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.r = links.a)
 SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, min(r) AS component_id, min(r) = id AS kept FROM reach GROUP BY id"""
 
+_OP12 = r"""
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), iw AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), lambda s: array_to_string(w[s:s + 9], ' '))) AS g FROM iw WHERE len(w) > 0
+), places AS (
+  SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM dw, (SELECT DISTINCT n FROM windows))
+), found AS (SELECT doc_id, p, n, item FROM places JOIN windows USING (n, g)
+), hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, p, n FROM found)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+), pw AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM dw
+), counts AS (SELECT word, count(*) AS n FROM pw GROUP BY word
+), rare AS (
+  SELECT item, word, n, count(*) OVER (PARTITION BY item) AS k FROM (
+    SELECT item, word, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY item ORDER BY coalesce(n, 0), word) AS i FROM (SELECT DISTINCT item, unnest(w) AS word FROM iw) LEFT JOIN counts USING (word)) WHERE i <= 4
+), spots AS (SELECT doc_id, item, k, word, p FROM rare JOIN pw USING (word) WHERE k > 1
+), near AS (
+  SELECT doc_id, count(DISTINCT item) AS near_items FROM (
+    SELECT a.doc_id, a.item FROM spots a JOIN spots b ON a.doc_id = b.doc_id AND a.item = b.item AND b.p BETWEEN a.p AND a.p + 39 GROUP BY a.doc_id, a.item, a.p, a.k HAVING count(DISTINCT b.word) = a.k) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(near_items, 0) AS near_items
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)"""
+
 
 def queries() -> dict[str, Query]:
-    """The ten operators, in order, and the pipeline."""
+    """The operators, in order."""
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_url_filters": op2_url_filters,
@@ -155,8 +186,9 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_mixing": op9_mixing,
         "op10_lm_scoring": op10_lm_scoring,
+        "op12_decontamination": op12_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": _OP2, "op3_ngram_jaccard_join": _OP3, "op6_embedding_near_dedup": _OP6, "op4_chat_formatting": _OP4, "op9_mixing": _OP9}
+    return {"op2_url_filters": _OP2, "op3_ngram_jaccard_join": _OP3, "op6_embedding_near_dedup": _OP6, "op4_chat_formatting": _OP4, "op9_mixing": _OP9, "op12_decontamination": _OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, decontaminate, embedding_dedup, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, packing, toxicity, url_filter
+from quire.llm import chat_format, decontaminate, embedding_dedup, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, packing, structure_repair, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROBE = "\\### Assistant: </turn> ok"
@@ -72,6 +72,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(_documents(spark, sf_dir))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.damaged_report(_table(spark, sf_dir, "conversations"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminated(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
@@ -145,6 +149,49 @@ v AS (SELECT * FROM d WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter
 ), reach(id, r) AS (SELECT vec_id, vec_id FROM d UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.r = links.a)
 SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, min(r) AS component_id, min(r) = id AS kept FROM reach GROUP BY id"""
 
+_OP11 = r"""
+WITH RECURSIVE table32 AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), kinds AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_transform(range(strlen(k)), lambda i: ord(k[i + 1])::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) % 20 AS kind FROM keyed, table32
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged
+), again AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS seen FROM placed
+), faults AS (
+  SELECT conv_id, turn, role, text, pos, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN seen > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM again
+), stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+    count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id
+), runs(state, ins, said, mid, next) AS (VALUES ('', '', [], '', 'user'), ('', 'I', ['user:'], 'u', 'assistant'), ('', 'II', ['user:', 'assistant:'], 'a', 'user'),
+  ('s', '', [], 's', 'user'), ('s', 'I', ['user:'], 'u', 'assistant'), ('s', 'II', ['user:', 'assistant:'], 'a', 'user'),
+  ('u', '', [], 'u', 'assistant'), ('u', 'I', ['assistant:'], 'a', 'user'), ('u', 'II', ['assistant:', 'user:'], 'u', 'assistant'),
+  ('a', '', [], 'a', 'user'), ('a', 'I', ['user:'], 'u', 'assistant'), ('a', 'II', ['user:', 'assistant:'], 'a', 'user')
+), edits(x) AS (VALUES ('D'), ('K'), ('R')
+), best(conv_id, pos, state, b) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '', {'cost': 0::BIGINT, 'audit': '', 'said': []::VARCHAR[]} FROM conversations
+  UNION ALL
+  SELECT conv_id, pos, state, min(b) FROM (
+    SELECT best.conv_id, f.pos, CASE x WHEN 'D' THEN mid WHEN 'R' THEN left(next, 1) ELSE f.i END AS state,
+      {'cost': (b.cost + 3 * length(ins) + CASE x WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN x <> 'D' AND f.fault = 't' THEN 3 ELSE 0 END)::BIGINT, 'audit': b.audit || ins || x,
+       'said': b.said || runs.said || CASE x WHEN 'D' THEN [] WHEN 'R' THEN [next || ':' || f.text] ELSE [f.role || ':' || f.text] END} AS b
+    FROM best JOIN faults f ON best.conv_id IS NOT DISTINCT FROM f.conv_id AND f.pos = best.pos + 1 JOIN runs ON runs.state = best.state, edits
+    WHERE x = 'D' OR (coalesce(f.fault, '') NOT IN ('b', 'd') AND (x = 'R' OR (mid = '' AND f.i IN ('s', 'u')) OR (mid IN ('s', 'a') AND f.i = 'u') OR (mid = 'u' AND f.i = 'a')))
+  ) GROUP BY conv_id, pos, state
+), ends AS (
+  SELECT conv_id, min({'cost': (b.cost + 3 * length(ins))::BIGINT, 'audit': b.audit || ins, 'said': b.said || runs.said}) AS b
+  FROM best JOIN runs USING (state) WHERE mid IN ('', 'a') AND pos = (SELECT count(*) FROM faults f WHERE f.conv_id IS NOT DISTINCT FROM best.conv_id) GROUP BY conv_id
+)
+SELECT ends.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.cost AS cost, b.audit AS audit,
+  sha256(array_to_string(b.said, chr(10))) AS repaired_sha256 FROM ends LEFT JOIN stats ON ends.conv_id IS NOT DISTINCT FROM stats.conv_id"""
+
+
 _OP12 = r"""
 WITH dw AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
@@ -186,9 +233,10 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_mixing": op9_mixing,
         "op10_lm_scoring": op10_lm_scoring,
+        "op11_structure_repair": op11_structure_repair,
         "op12_decontamination": op12_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": _OP2, "op3_ngram_jaccard_join": _OP3, "op6_embedding_near_dedup": _OP6, "op4_chat_formatting": _OP4, "op9_mixing": _OP9, "op12_decontamination": _OP12}
+    return {"op2_url_filters": _OP2, "op3_ngram_jaccard_join": _OP3, "op6_embedding_near_dedup": _OP6, "op4_chat_formatting": _OP4, "op9_mixing": _OP9, "op11_structure_repair": _OP11, "op12_decontamination": _OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, decontaminate, embedding_dedup, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, packing, structure_repair, toxicity, url_filter
+from quire.llm import chat_format, decontaminate, embedding_dedup, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, packing, spelling, structure_repair, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROBE = "\\### Assistant: </turn> ok"
@@ -80,6 +80,10 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminated(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(_documents(spark, sf_dir), spelling.one_letter_lost))
+
+
 _OP2 = """
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
@@ -219,6 +223,28 @@ WITH dw AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(near_items, 0) AS near_items
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
+_OP13 = r"""
+WITH RECURSIVE table32 AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY id, run
+), crc AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_transform(range(strlen(id || ':' || run)), lambda i: CAST('0x' || substr(hex(id || ':' || run), 2 * i + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS h FROM counted, table32
+), w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM crc) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN w b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN w b ON a.rest = b.word
+), best AS (SELECT word, count(*) AS n_near, max(near_n) AS top, min(near) FILTER (WHERE near_n = t) AS form FROM (SELECT *, max(near_n) OVER (PARTITION BY word) AS t FROM near) GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * w.n THEN form END AS form, CASE WHEN top >= 2 * w.n THEN top END AS form_n FROM w LEFT JOIN best ON best.word = w.word
+), path(word, root) AS (SELECT word, word FROM forms UNION ALL SELECT path.word, forms.form FROM path JOIN forms ON path.root = forms.word WHERE forms.form IS NOT NULL)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN (SELECT path.word, root FROM path JOIN forms ON path.root = forms.word WHERE forms.form IS NULL) p ON p.word = forms.word"""
+
 
 def queries() -> dict[str, Query]:
     """The operators, in order."""
@@ -235,8 +261,9 @@ def queries() -> dict[str, Query]:
         "op10_lm_scoring": op10_lm_scoring,
         "op11_structure_repair": op11_structure_repair,
         "op12_decontamination": op12_decontamination,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": _OP2, "op3_ngram_jaccard_join": _OP3, "op6_embedding_near_dedup": _OP6, "op4_chat_formatting": _OP4, "op9_mixing": _OP9, "op11_structure_repair": _OP11, "op12_decontamination": _OP12}
+    return {"op2_url_filters": _OP2, "op3_ngram_jaccard_join": _OP3, "op6_embedding_near_dedup": _OP6, "op4_chat_formatting": _OP4, "op9_mixing": _OP9, "op11_structure_repair": _OP11, "op12_decontamination": _OP12, "op13_spelling_variants": _OP13}

@@ -69,6 +69,16 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+def same_path(path: Column) -> Column:
+    """A path without empty authority, as file systems list it: ``file:/a`` for ``file:///a``."""
+    return F.regexp_replace(path, r"^([A-Za-z][A-Za-z0-9+.-]*):///+", "$1:/")
+
+
+def plain_path(uri: Column) -> Column:
+    """The path that a URI stands for: ``%20`` and its like decoded, a plus sign left as it is."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def padded_name(page: Column, number: Column, suffix: str = ".png") -> Column:
     """``page_line_007.png``."""
     return F.concat(page, F.format_string("_line_%03d", number), F.lit(suffix))

@@ -142,7 +142,7 @@ def proximity_matches(index: DataFrame, benchmark: DataFrame, counts: DataFrame,
     rarest = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "term"))), 1, terms)
     asked = known.groupBy("set").agg(rarest.alias("t")).where(F.col("t")[0]["n"] > 0)
     asked = asked.select("set", F.posexplode("t").alias("k", "t"), F.size("t").alias("of")).select("set", "of", F.col("t.term").alias("term"), F.expr("shiftleft(1L, k)").alias("bit"))
-    lists = index.where("asked").select(*KEY, "pos", "term").distinct().join(_few(asked, few), "term")
+    lists = index.where("asked").select(*KEY, "pos", "term").join(_few(asked, few), "term").distinct()  # repeated rows have one document's postings several times
     frame = Window.partitionBy(*KEY, "set").orderBy("pos").rangeBetween(0, span - 1)
     seen = lists.select(*KEY, "set", "of", "pos", F.bit_or("bit").over(frame).alias("bits"), F.max("pos").over(frame).alias("last")).where("bits = shiftleft(1L, of) - 1")
     first = seen.groupBy(*KEY, "set").agg(F.min(F.struct("pos", "last")).alias("at"))

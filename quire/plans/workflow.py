@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.jobs import correction, curation, dataset, evaluation
+from quire.jobs import correction, curation, dataset, evaluation, regions
+from quire.operators import boxes
 from quire.plans.lines import EDITS, GRAMS, LINES, lines, table
 from quire.plans.roundtrips import LEVELS, _images
 from quire.plans.evaluation import F2, MEANS
@@ -85,6 +86,22 @@ def curation_reports(spark, sf_dir):
     return out.union(found.qa.select(F.lit("checked"), said, "rows", "rows"))
 
 
+@query("detected_manifest", f"""WITH {LEVELS}, p AS (SELECT 's' || vec_id // 50 AS source, 'p' || vec_id AS page, v FROM g), b AS (SELECT source, page, unnest([0, 1, 2]) AS box_no, unnest([v[1] / 64.0::DOUBLE, v[2] / 32.0::DOUBLE, 7.75]) AS x1, unnest([5.5, 6.0, 8.0]) AS x2, unnest([v[3], v[4], 204]) / 255.0::DOUBLE AS conf FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY source, page ORDER BY x1, box_no) AS no, count(*) OVER (PARTITION BY source, page) AS n FROM b WHERE conf >= 0.25)
+SELECT source, page, CAST(row_number() OVER (PARTITION BY source, page ORDER BY box_no) - 1 AS INTEGER) AS box_no, round(x1, 6) AS x1, round(conf, 6) AS conf, page || CASE n WHEN 1 THEN '_full' WHEN 2 THEN CASE no WHEN 1 THEN '_left' ELSE '_right' END ELSE '_col' || no END || '.png' AS name, true AS cut FROM k""")
+def detected_manifest(spark, sf_dir):
+    """Pages to a manifest of what a stand-in detector is sure of, as its JSON has it, and whether each region was cut out."""
+    folder, out = scratch(spark, "pages"), scratch(spark, "detected")
+    name = F.concat(F.lit("s"), F.floor(F.col("vec_id") / 50).cast("string"), F.lit("/p"), F.col("vec_id").cast("string"), F.lit(".png"))
+    _run(sinks.write_files(_images(spark, sf_dir).withColumn("name", name), "name", "content", folder))
+    found = regions.detect(spark, folder, lambda g: [(g[0, 0] / 64.0, 0.0, 5.5, 8.0, g[0, 2] / 255.0), (g[0, 1] / 32.0, 1.0, 6.0, 7.0, g[0, 3] / 255.0), (7.75, 0.0, 8.0, 8.0, 0.8)], out)
+    regions.cut_regions(spark, found, folder, f"{out}/regions", 1)
+    there = readers.files(spark, f"{out}/regions", "*.png", recursive=True).select(regions.source_of(F.col("path")).alias("source"), F.col("name"), F.lit(True).alias("cut"))
+    named = boxes.region_names(found, ["source", "page"], [F.col("x1"), F.col("box_no")])
+    named = named.withColumn("name", F.concat("page", F.lit("_"), "suffix", F.lit(".png"))).join(there, ["source", "name"], "left")
+    return named.select("source", "page", "box_no", F.round("x1", 6).alias("x1"), F.round("conf", 6).alias("conf"), "name", F.coalesce("cut", F.lit(False)).alias("cut"))
+
+
 ROWS = """r AS (SELECT vec_id, 'Label ' || label AS source, 'l' || label AS source_id, CAST(vec_id AS VARCHAR) AS line, 't ' || vec_id AS t FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL AND vec_id % 9 <> 0),
 v AS (SELECT source_id AS s FROM (SELECT DISTINCT source_id FROM r) ORDER BY md5('42:' || source_id), source_id LIMIT 2),
 k AS (SELECT *, CASE WHEN source_id IN (SELECT s FROM v) THEN 'val' ELSE 'train' END AS split FROM r),

@@ -43,8 +43,9 @@ def write_json(df: DataFrame, path: str, pretty: bool = True) -> None:
 
 def write_compiled(rows: DataFrame, files: DataFrame, path: str) -> None:
     """Images and texts for training as one Parquet table: image_path, ground_truth_text, content of the rows whose file (path, content) there is."""
-    held = files.select(F.col("path").alias("image_path"), "content")
-    rows.select("image_path", "ground_truth_text").join(held, "image_path").write.mode("overwrite").parquet(path)
+    held = files.select(text.same_path(F.col("path")).alias("_at"), "content")
+    met = rows.select("image_path", "ground_truth_text").join(held, text.same_path(F.col("image_path")) == F.col("_at"))
+    met.drop("_at").write.mode("overwrite").parquet(path)
 
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:
@@ -54,11 +55,13 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
 
 def open_shared(path: str):
     """A stream to a new file of storage that executors share; a path without a scheme could be any machine's own disk."""
+    from urllib.parse import quote
+
     from pyarrow import fs
 
     if "://" not in path:
         raise ValueError(f"{path} has no scheme, such as file:// or hdfs://")
-    system, bare = fs.FileSystem.from_uri(path)
+    system, bare = fs.FileSystem.from_uri(quote(path, safe=":/@"))  # names may hold blanks and any other character
     system.create_dir(bare.rsplit("/", 1)[0], recursive=True)
     return system.open_output_stream(bare)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions.edits import sequence_distance
-from quire.jobs import correction, curation, dataset, evaluation
+from quire.jobs import correction, curation, dataset, evaluation, regions
 from quire.sources import readers, sinks
 
 LETTERS = {"A": ["2right_line_001", "2left_line_003", "2left_line_003.1", "2left_line_010", "10_line_001", "cover_line_002", "9_line_007"], "B": ["1_line_001"], "D": ["1_line_002", "1_line_001"]}
@@ -158,3 +158,71 @@ def test_correction(spark, tmp_path):
     sinks.write_csv(df, f"{tmp_path}/p")
     correction.correct(spark, f"{tmp_path}/p", call, f"{tmp_path}/o", size=5, attempts=1)
     assert readers.csv(spark, f"{tmp_path}/o/lines").count() == 8  # a CSV has no nulls, so all rows stay
+
+
+def halves(grey):
+    """A detector: a box for each half of the page that has ink, and one it is not sure of; none on dark pages."""
+    h, w = grey.shape
+    found = [(x, 0.0, x + w / 2, float(h), 0.9) for x in (w / 2, 0.0) if (grey[:, int(x) : int(x + w / 2)] < 128).any()]
+    return [*found, (0.0, 0.0, 1.0, 1.0, 0.1)] if grey.mean() > 50 else []
+
+
+def test_regions(spark, tmp_path):
+    page = np.full((40, 60), 255, np.uint8)
+    left, dark = page.copy(), np.zeros((40, 60), np.uint8)
+    left[5:9, 3:20] = 0
+    both = left.copy()
+    both[5:9, 40:50] = 0
+    for name, grey in (("S 1/left", left), ("S 1/both", both), ("S 1/blank", page), ("T/left", left), ("T/dark", dark)):
+        (tmp_path / "pages" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "pages" / f"{name}.png").write_bytes(readers.encode_png(grey))
+    (tmp_path / "pages" / "T" / "broken.png").write_bytes(b"no image")
+    out = f"file://{tmp_path}/out"
+    found = regions.detect(spark, f"file://{tmp_path}/pages", halves, out)
+    rows = {(r.source, r.page, r.box_no): (r.x1, r.x2, r.conf) for r in found.collect()}
+    assert rows == {("S 1", "left", 0): (0, 30, 0.9), ("T", "left", 0): (0, 30, 0.9), ("S 1", "both", 0): (30, 60, 0.9), ("S 1", "both", 1): (0, 30, 0.9)}
+    documents = {k: v for r in spark.read.text(f"{out}/manifest").collect() for k, v in json.loads(r.value).items()}
+    assert {s: set(p) for s, p in documents.items()} == {"S 1": {"left", "both", "blank"}, "T": {"left", "dark", "broken"}} and documents["T"]["dark"]["boxes"] == []
+    regions.cut_regions(spark, found, f"file://{tmp_path}/pages", f"{out}/regions", 2)
+    cut = {str(p.relative_to(tmp_path / "out" / "regions")): readers.decode_png(p.read_bytes()) for p in (tmp_path / "out" / "regions").rglob("*.png")}
+    assert {k: v.shape for k, v in cut.items()} == {"S 1/left_full.png": (40, 32), "T/left_full.png": (40, 32), "S 1/both_left.png": (40, 32), "S 1/both_right.png": (40, 32)}
+    assert np.array_equal(cut["S 1/both_right.png"], both[:, 28:])
+
+
+def read_length(greys):
+    """A recogniser, named on the command line below."""
+    return [str(g.shape[1]) for g in greys]
+
+
+def shorter(texts):
+    return [t[:-1] for t in texts]
+
+
+def test_command_line(spark, folders, tmp_path, capsys):
+    """The jobs one after the other, each on what the one before it wrote."""
+    from quire.__main__ import main
+
+    crops, said, config, out = folders
+    config.write.json(f"{out}/config")
+    main(["curate", "--crops", crops, "--transcripts", said, "--config", f"{out}/config", "--out", f"{out}/curated"])
+    assert "diff_crop_minus_transcript" in capsys.readouterr().out
+    main(["dataset", "--rows", f"{out}/curated/rows", "--images", crops, "--out", f"{out}/set", "--copies", "2", "--val-sources", "1"])
+    main(["pairs", "--manifest", f"{out}/set/manifests", "--images", f"{out}/set", "--out", f"{out}/pairs"])
+    main(["compile", "--manifest", f"{out}/set/manifests", "--images", f"{out}/set", "--out", f"{out}/compiled"])
+    held = readers.csv(spark, f"{out}/set/manifests")
+    assert held.count() == spark.read.parquet(f"{out}/compiled").count() and held.count() in (2 + 2 * 5, 5 + 2 * 2)
+    main(["evaluate", "--manifest", f"{out}/set/manifests", "--images", f"{out}/set", "--recogniser", "tests.test_jobs:read_length", "--out", f"{out}/eval", "--phase", "first"])
+    predicted = readers.csv(spark, f"{out}/eval/predictions")
+    assert {r.prediction for r in predicted.collect()} == {"20"}
+    main(["correct", "--predictions", f"{out}/eval/predictions", "--corrector", "tests.test_jobs:shorter", "--out", f"{out}/corrected"])
+    assert {r.correction for r in readers.csv(spark, f"{out}/corrected/lines").collect()} == {"2"}
+    main(["rename", "--crops", crops, "--config", f"{out}/config", "--out", f"{out}/renamed"])
+    (tmp_path / "pages" / "S").mkdir(parents=True)
+    page = np.full((120, 160), 255, np.uint8)
+    for top in (20, 60, 100):
+        page[top : top + 8, 10:150:3] = 0
+    (tmp_path / "pages" / "S" / "p1.png").write_bytes(readers.encode_png(page))
+    main(["detect", "--pages", f"file://{tmp_path}/pages", "--detector", "tests.test_jobs:halves", "--out", f"{out}/detected"])
+    assert {p.name for p in (tmp_path / "out" / "detected" / "regions" / "S").glob("*.png")} == {"p1_left.png", "p1_right.png"}
+    main(["lines", "--pages", f"file://{tmp_path}/pages", "--out", f"{out}/lines"])
+    assert sorted(p.name for p in (tmp_path / "out" / "lines" / "S").glob("*.png"))[0] == "p1_line_001.png"

@@ -21,13 +21,21 @@ REQUIRED = ("split", "source", "source_id", "page", "line", "image_path", "groun
 BOM = "﻿"
 
 
+def fuller(found: DataFrame) -> DataFrame:
+    """found, a plain read, in tasks of a full partition's bytes where its files are many and small; Spark counts each as megabytes and would start a task for a few of them."""
+    spark = found.sparkSession
+    size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-size // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    return found.coalesce(tasks) if found._jdf.queryExecution().toRdd().getNumPartitions() > tasks else found
+
+
 def files(spark: SparkSession, paths: str | list[str], glob: str = "*", recursive: bool = False, content: bool = False) -> DataFrame:
     """path, name, length of files, and content if asked for; raises if there are none."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true")
     found = reader.load(paths)
     if found.limit(1).count() == 0:
         raise FileNotFoundError(f"no {glob} in {paths}")
-    return found.select("path", text.base_name(F.col("path")).alias("name"), "length", *(["content"] if content else []))
+    return fuller(found).select("path", text.base_name(F.col("path")).alias("name"), "length", *(["content"] if content else []))
 
 
 def numbered_documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
@@ -57,7 +65,7 @@ def labelled(images: DataFrame, labels: DataFrame) -> DataFrame:
 def whole_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """path, text of UTF-8 files, a row for each."""
     read = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    return read.select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit(BOM), F.lit("")).alias("text"))
+    return fuller(read.select("value", "_metadata.file_path")).select(F.col("file_path").alias("path"), F.replace("value", F.lit(BOM), F.lit("")).alias("text"))
 
 
 def transcript_lines(texts: DataFrame, keep: list[str]) -> DataFrame:

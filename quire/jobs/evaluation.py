@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import edits, text
@@ -66,6 +66,28 @@ def written(predicted: DataFrame, out: str, phase: str, settings: dict[str, Colu
     return spark.read.schema(made.schema).option("multiLine", "true").json(f"{out}/metrics")
 
 
+def compared(stages: DataFrame, order: str = "place") -> DataFrame:
+    """stages with <name>_delta, what changed against the stage before, and <name>_gain, the share of the first stage's rate that is gone.
+
+    stages: place and COMPARED, a row for each run of a line of models, so a few.  Null for the first stage; chrF gains by its rise.
+    """
+    ahead = Window.orderBy(order)
+    first = lambda c: F.first(c).over(ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    later = F.row_number().over(ahead) > 1
+    delta = {f"{c}_delta": F.col(c) - F.lag(c).over(ahead) for c in COMPARED}
+    gain = {f"{c}_gain": F.when(later, F.try_divide(F.col(c) - first(c), first(c)) * (1 if c == "chrF" else -1)) for c in COMPARED}
+    return stages.withColumns(delta | gain)
+
+
+def stages_of(spark: SparkSession, metrics_of: list[tuple[str, str]]) -> DataFrame:
+    """place, stage, num_samples and COMPARED of the documents that ``written`` left, in order: (stage, path)."""
+    out = None
+    for k, (stage, path) in enumerate(metrics_of):
+        row = readers.json_document(spark, path, DOCUMENT).select(F.lit(k).alias("place"), F.lit(stage).alias("stage"), "overall.num_samples", *[f"overall.{c}" for c in COMPARED])
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def evaluate(spark: SparkSession, manifest: str, images: str, recogniser: Callable, out: str, phase: str, split: str | None = "val", limit: int = 0, settings: dict[str, Column] | None = None, baseline: str | None = None, batch: int = 4) -> DataFrame:
     """Reads a split of a manifest and the folder of its images, lets the recogniser read them, and writes predictions and metrics."""
     rows = readers.manifest(spark, manifest, split, limit=limit)

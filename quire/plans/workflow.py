@@ -166,6 +166,16 @@ BOTH = SAID.format("h", "replace(CAST(list_sum(v) AS BIGINT) || ' of ' || list_m
 WORSE = SAID.format("h0", "replace(replace(CAST(list_sum(v) AS BIGINT) || ' of ' || list_max(v), '1', '7'), 'of', '0 f')")
 
 
+def _read_images(spark, sf_dir):
+    """Rows of a manifest, whose texts say the sum and the greatest of an image's levels, and the images."""
+    images = _images(spark, sf_dir).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("path"), "content")
+    images = staged(images, "images")
+    held = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.coalesce(F.col("label").cast("string"), F.lit("")).alias("source_id"), F.transform("embedding", lambda x: F.least(F.greatest(F.floor((x.cast("double") + 1) * 128), F.lit(0)), F.lit(255))).alias("v"))
+    truth = F.concat(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).cast("string"), F.lit(" of "), F.array_max("v").cast("string"))
+    rows = held.select(F.lit("e").alias("source"), "source_id", F.lit("1").alias("page"), F.col("vec_id").cast("string").alias("line"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("image_path"), truth.alias("ground_truth_text"))
+    return rows, images
+
+
 @query("evaluation_metrics", f"""WITH {LEVELS}, {BOTH}, {EDITS}, {GRAMS.format('h')}, {WORSE}, 
 e0 AS (SELECT CAST(levenshtein(ref, hyp) AS BIGINT) AS c_edits, greatest(1, length(ref)) AS c_len FROM h0),
 s AS (SELECT source, {SUMS} FROM e GROUP BY GROUPING SETS ((source), ())),
@@ -173,11 +183,7 @@ c AS (SELECT source, sum(f) / 6 AS chrf FROM (SELECT source, n, {F2} AS f FROM g
 SELECT s.source AS key, num_samples, round(cer, 6) AS cer, round(wer, 6) AS wer, round(chrf, 6) AS chrf, cer_edits, wer_edits, CASE WHEN s.source IS NULL THEN round((SELECT sum(c_edits)::DOUBLE / sum(c_len) FROM e0) - cer, 6) END AS cer_delta FROM s JOIN c ON s.source IS NOT DISTINCT FROM c.source""")
 def evaluation_metrics(spark, sf_dir):
     """Images to predictions and a document of metrics, overall, by source and against an earlier run's, as its JSON has it."""
-    images = _images(spark, sf_dir).select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("path"), "content")
-    images = staged(images, "images")
-    held = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.coalesce(F.col("label").cast("string"), F.lit("")).alias("source_id"), F.transform("embedding", lambda x: F.least(F.greatest(F.floor((x.cast("double") + 1) * 128), F.lit(0)), F.lit(255))).alias("v"))
-    truth = F.concat(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).cast("string"), F.lit(" of "), F.array_max("v").cast("string"))
-    rows = held.select(F.lit("e").alias("source"), "source_id", F.lit("1").alias("page"), F.col("vec_id").cast("string").alias("line"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("image_path"), truth.alias("ground_truth_text"))
+    rows, images = _read_images(spark, sf_dir)
     first, second = scratch(spark, "first"), scratch(spark, "second")
     evaluation.written(evaluation.predictions(rows, images, _reads(("1", "7"), ("of", "0 f"))), first, "first")
     found = evaluation.written(evaluation.predictions(rows, images, _reads(("1", "7"))), second, "second", {"beams": F.lit(4)}, f"{first}/metrics")
@@ -186,6 +192,22 @@ def evaluation_metrics(spark, sf_dir):
     return every.select(F.when(~whole, F.col("key")).alias("key"), "m.num_samples", *[F.round(f"m.{a}", 6).alias(b) for a, b in (("CER", "cer"), ("WER", "wer"), ("chrF", "chrf"))], "m.cer_edits", "m.wer_edits", F.when(whole, F.round("CER_delta", 6)).alias("cer_delta"))
 
 
+STAGES = "SELECT place, sum(levenshtein(ref, hyp))::DOUBLE / sum(greatest(1, length(ref))) AS cer FROM (SELECT 0 AS place, ref, replace(replace(ref, '1', '7'), 'of', '0 f') AS hyp FROM h UNION ALL SELECT 1, ref, replace(ref, '1', '7') FROM h UNION ALL SELECT 2, ref, replace(ref, '12', '21') FROM h) GROUP BY place"
+
+
+@query("stage_comparison", f"""WITH {LEVELS}, {SAID.format('h', "''")}, s AS ({STAGES}), n AS (SELECT count(*) AS n FROM h)
+SELECT CAST(place AS INTEGER) AS place, n AS num_samples, round(cer, 6) AS cer, round(cer - lag(cer) OVER (ORDER BY place), 6) AS cer_delta, CASE WHEN place > 0 THEN round(1 - cer / (SELECT cer FROM s WHERE place = 0), 6) END AS cer_gain FROM s, n""")
+def stage_comparison(spark, sf_dir):
+    """Three recognisers one after the other, from their metrics documents: what each changed, and the share of the first one's errors that is gone."""
+    rows, images = _read_images(spark, sf_dir)
+    runs = [("first", (("1", "7"), ("of", "0 f"))), ("second", (("1", "7"),)), ("third", (("12", "21"),))]
+    places = [(name, scratch(spark, name)) for name, _ in runs]
+    for (name, wrong), (_, out) in zip(runs, places, strict=True):
+        evaluation.written(evaluation.predictions(rows, images, _reads(*wrong)), out, name)
+    found = evaluation.compared(evaluation.stages_of(spark, [(name, f"{out}/metrics") for name, out in places]))
+    return found.select("place", "num_samples", *[F.round(a, 6).alias(b) for a, b in (("CER", "cer"), ("CER_delta", "cer_delta"), ("CER_gain", "cer_gain"))])
+
+
 TWICE = """two AS (SELECT doc_id, line_no, 'before' AS source, ref, hyp FROM h UNION ALL SELECT doc_id, line_no, 'after', ref, replace(hyp, 'tn', 'th') FROM h),
 bare AS (SELECT doc_id, source, line_no, regexp_replace(ref, '\\s+', '', 'g') AS ref, regexp_replace(hyp, '\\s+', '', 'g') AS hyp FROM two)"""
 

@@ -131,6 +131,15 @@ def test_evaluation(spark, tmp_path):
     assert whole.overall.num_samples == 3 and whole.per_source["s2"].CER == 0  # a row without a text is not in a manifest
 
 
+def test_stages(spark, tmp_path):
+    rows = [(2, "third", 0.1, 0.3, 0.9), (0, "first", 0.4, 0.5, 0.5), (1, "second", 0.2, 0.6, 0.5)]
+    got = evaluation.compared(spark.createDataFrame(rows, "place int, stage string, CER double, WER double, chrF double")).orderBy("place").collect()
+    assert [r.CER_delta for r in got][0] is None and np.allclose([r.CER_delta for r in got[1:]], [-0.2, -0.1])
+    assert got[0].CER_gain is None and np.allclose([r.CER_gain for r in got[1:]], [0.5, 0.75]) and np.allclose([r.chrF_gain for r in got[1:]], [0.0, 0.8])
+    zero = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 0.1, 0.1, 0.1)], "place int, CER double, WER double, chrF double")
+    assert evaluation.compared(zero).orderBy("place").collect()[1].CER_gain is None
+
+
 def test_correction(spark, tmp_path):
     said = [("one two three", "onc two thrcc"), ("same", "same"), (" ", "noise"), ("worse", "worse"), ("ñandú q", "ñandu q"), (None, "x"), ("y", None)]
     rows = [(f"p{k:02d}", r, h) for k, (r, h) in enumerate(said)] + [("q", "left as it is", "lcft")]

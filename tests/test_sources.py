@@ -119,3 +119,16 @@ def test_label_boxes_and_missing_files(spark):
     listing = spark.createDataFrame([("a.png",)], "path string")
     assert [r.image_path for r in readers.aligned(rows, listing).collect()] == ["a.png"]
     assert sorted(r.image_path for r in readers.missing(rows, listing).collect()) == ["b.png", "c.png"]
+
+
+def test_many_small_files_make_few_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"f {k}.bin").write_bytes(bytes([k % 256]) * (k + 1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = readers.files(spark, str(tmp_path), "*.bin", content=True)
+        assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < 300
+        assert {(r.name, bytes(r.content)) for r in found.collect()} == {(p.name, p.read_bytes()) for p in tmp_path.iterdir()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -59,7 +59,7 @@ def prepare(rows: DataFrame, images: DataFrame, out: str, copies: int = COPIES,
     Only aligned rows with a text are taken.  At least one row must be left.
     """
     kept = readers.aligned(rows)
-    if kept.limit(1).count() == 0:
+    if kept.isEmpty():
         raise ValueError("no aligned rows")
     manifest = write_images(split.by_group(kept, "source_id", sources, seed), images, out, copies, seed, vary)
     sinks.write_manifests(manifest, f"{out}/manifests")

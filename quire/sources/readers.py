@@ -33,7 +33,7 @@ def files(spark: SparkSession, paths: str | list[str], glob: str = "*", recursiv
     """path, name, length of files, and content if asked for; raises if there are none."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true")
     found = reader.load(paths)
-    if found.limit(1).count() == 0:
+    if found.select("path").isEmpty():  # reads no more than it must
         raise FileNotFoundError(f"no {glob} in {paths}")
     return fuller(found).select("path", text.base_name(F.col("path")).alias("name"), "length", *(["content"] if content else []))
 

@@ -31,7 +31,7 @@ def write_images(rows: DataFrame, images: DataFrame, out: str, copies: int = COP
     give nothing, nor do training images that cannot be decoded.  A task that runs again writes the same files.
     """
     held = rows.select("split", *[F.col(c.split()[0]).cast("string") for c in ROW.split(", ")]).withColumns({"slug": text.slug(F.col("source")), "stem": text.stem(F.col("image_path"))})
-    met = held.join(images.select(text.same_path(F.col("path")).alias("_at"), "content"), text.same_path(F.col("image_path")) == F.col("_at")).drop("_at")
+    met = readers.with_content(held, images)
     fields = [f.split()[0] for f in readers.MANIFEST.split(", ")]
 
     def each(batches):
@@ -59,7 +59,7 @@ def prepare(rows: DataFrame, images: DataFrame, out: str, copies: int = COPIES,
     Only aligned rows with a text are taken.  At least one row must be left.
     """
     kept = readers.aligned(rows)
-    if kept.isEmpty():
+    if not kept.take(1):
         raise ValueError("no aligned rows")
     manifest = write_images(split.by_group(kept, "source_id", sources, seed), images, out, copies, seed, vary)
     sinks.write_manifests(manifest, f"{out}/manifests")
@@ -71,7 +71,7 @@ def write_pairs(manifest: DataFrame, images: DataFrame, out: str) -> DataFrame:
     status = F.coalesce(F.col("status"), F.lit("aligned")) == "aligned" if "status" in manifest.columns else F.lit(True)
     rows = sinks.sidecar_names(manifest.where(status))
     sinks.write_lines(readers.missing(rows.withColumn("image_path", text.same_path(F.col("image_path"))), images.select(text.same_path(F.col("path")).alias("path"))), "image_path", f"{out}/missing")
-    met = rows.join(images.select(text.same_path(F.col("path")).alias("_at"), "content"), text.same_path(F.col("image_path")) == F.col("_at")).drop("_at")
+    met = readers.with_content(rows, images)
     said = F.encode(F.replace(F.coalesce("ground_truth_text", F.lit("")), F.lit(readers.BOM), F.lit("")), "UTF-8")
     both = F.array(F.struct(F.lit(".png").alias("end"), F.col("content").alias("data")), F.struct(F.lit(".gt.txt").alias("end"), said.alias("data")))
     named = met.select("split", "stem", F.explode(both).alias("x")).select(F.concat("split", F.lit("/"), "stem", "x.end").alias("name"), F.col("x.data").alias("data"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions import edits, text
+from quire.functions import edits
 from quire.operators import metrics, pages
 from quire.sources import readers, sinks
 from quire.sources.staging import staged
@@ -22,7 +22,7 @@ COMPARED = ("CER", "WER", "chrF")
 
 def predictions(rows: DataFrame, images: DataFrame, recogniser: Callable[[list[np.ndarray]], list[str]], batch: int = 4) -> DataFrame:
     """FIELDS: what the recogniser reads from each row's file; rows without a file give nothing."""
-    met = rows.select(*FIELDS[:-1]).join(images.select(text.same_path(F.col("path")).alias("_at"), F.col("content").alias("png")), text.same_path(F.col("image_path")) == F.col("_at")).drop("_at")
+    met = readers.with_content(rows.select(*FIELDS[:-1]), images).withColumnRenamed("content", "png")
     return pages.recognised(met, recogniser, batch).select(*FIELDS)
 
 

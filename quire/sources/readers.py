@@ -33,7 +33,7 @@ def files(spark: SparkSession, paths: str | list[str], glob: str = "*", recursiv
     """path, name, length of files, and content if asked for; raises if there are none."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true")
     found = reader.load(paths)
-    if found.select("path").isEmpty():  # reads no more than it must
+    if not found.select("path").take(1):  # one task after the other, until there is a file
         raise FileNotFoundError(f"no {glob} in {paths}")
     return fuller(found).select("path", text.base_name(F.col("path")).alias("name"), "length", *(["content"] if content else []))
 
@@ -125,6 +125,16 @@ def aligned(rows: DataFrame, listing: DataFrame | None = None) -> DataFrame:
     return kept.join(listing.select(F.col("path").alias("image_path")), "image_path", "left_semi") if listing is not None else kept
 
 
+def with_content(rows: DataFrame, images: DataFrame) -> DataFrame:
+    """rows (image_path) that have a file (path, content), with its content, dealt to as many tasks as a shuffle has partitions.
+
+    So many whatever their bytes: what is done to an image takes longer than to read it, and small partitions would be joined into a few.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = images.select(text.same_path(F.col("path")).alias("_at"), "content").repartition(n, "_at")
+    return rows.withColumn("_at", text.same_path(F.col("image_path"))).repartition(n, "_at").join(held.hint("merge"), "_at").drop("_at")
+
+
 def missing(rows: DataFrame, listing: DataFrame) -> DataFrame:
     """Image paths without a file."""
     return rows.select("image_path").distinct().join(listing.select(F.col("path").alias("image_path")), "image_path", "left_anti")

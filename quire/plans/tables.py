@@ -98,7 +98,7 @@ def last_candidate(spark, sf_dir):
 @query("label_restoration", "SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: CASE WHEN floor(x * 100) = -100 THEN 1 ELSE floor(x * 100) END)) AS BIGINT) AS total FROM embeddings")
 def label_restoration(spark, sf_dir):
     """Padding marks (-100) in label arrays replaced by the pad id."""
-    labels = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100))
+    labels = F.transform("embedding", lambda x: F.floor(x * F.lit(100).cast("float")))  # in single precision, as they are stored
     restored = F.transform(labels, lambda x: F.when(x == -100, F.lit(1).cast("long")).otherwise(x))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(restored, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 

@@ -58,10 +58,11 @@ def rates(counted: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "num_samples", safe_ratio(F.col("cer_edits"), F.col("cer_chars")).alias("cer"), safe_ratio(F.col("wer_edits"), F.col("wer_words")).alias("wer"), "cer_edits", "cer_chars", "wer_edits", "wer_words")
 
 
-def list_rate(lines: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """edits, chars, cer of a list of texts; lengths as they are, so that empty references add nothing."""
-    out = lines.agg(F.coalesce(F.sum(edits.char_edits(F.col(ref), F.col(hyp))), F.lit(0)).cast("long").alias("edits"), F.coalesce(F.sum(F.length(ref)), F.lit(0)).cast("long").alias("chars"))
-    return out.select("edits", "chars", safe_ratio(F.col("edits"), F.col("chars")).alias("cer"))
+def list_rate(lines: DataFrame, ref: str = "ref", hyp: str = "hyp", total: str | None = None) -> DataFrame:
+    """edits, chars, cer of a list of texts, and optionally how many there are; lengths as they are, so that empty references add nothing."""
+    count = [F.count("*").alias(total)] if total else []
+    out = lines.agg(*count, F.coalesce(F.sum(edits.char_edits(F.col(ref), F.col(hyp))), F.lit(0)).cast("long").alias("edits"), F.coalesce(F.sum(F.length(ref)), F.lit(0)).cast("long").alias("chars"))
+    return out.withColumn("cer", safe_ratio(F.col("edits"), F.col("chars")))
 
 
 def joined(lines: DataFrame, keys: list[str], order: list[Column], size: int, ref: str = "ref", hyp: str = "hyp") -> DataFrame:

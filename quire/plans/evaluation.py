@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import edits, text
 from quire.operators import metrics, quality
-from quire.operators.order import numbered
 from quire.plans.lines import DISTANCE, EDITS, GRAMS, LINES, PIECES, lines, pieces, table
 
 F2 = "CASE WHEN sum(m) = 0 THEN 0.0 ELSE 5.0 * (sum(m)::DOUBLE / sum(h)) * (sum(m)::DOUBLE / sum(r)) / (4.0 * (sum(m)::DOUBLE / sum(h)) + sum(m)::DOUBLE / sum(r)) END"
@@ -115,8 +115,7 @@ def metrics_rollup(spark, sf_dir):
 def cer_joined_corpus(spark, sf_dir):
     """CER of pages of 20 whole lines joined by newlines, where an edit may cross lines."""
     joined = metrics.joined(lines(spark, sf_dir), ["doc_id"], [F.col("line_no")], 20)
-    out = metrics.list_rate(joined)
-    return joined.agg(F.count("*").alias("pages")).crossJoin(out).select("pages", "edits", "chars", F.round("cer", 6).alias("cer"))  # one row each
+    return metrics.list_rate(joined, total="pages").select("pages", "edits", "chars", F.round("cer", 6).alias("cer"))
 
 
 @query("near_copy_cer", f"WITH {LINES}, k AS (SELECT doc_id, string_split(text, chr(10))[1] AS k FROM documents), f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS first_id FROM k), c AS (SELECT f.doc_id, f.first_id, h.line_no, h.ref FROM f JOIN h ON f.doc_id = h.doc_id WHERE f.doc_id <> f.first_id), p AS (SELECT c.doc_id, c.first_id, c.ref, o.ref AS o, list_distinct(string_split(coalesce(o.ref, '') || c.ref, '')) AS k FROM c LEFT JOIN h o ON o.doc_id = c.first_id AND o.line_no = c.line_no) SELECT doc_id, first_id, CAST(sum(CASE WHEN o IS NULL THEN length(ref) WHEN o = ref THEN 0 ELSE {DISTANCE.format('o', 'ref')} END) AS BIGINT) AS edits, CAST(sum(length(ref)) AS BIGINT) AS chars FROM p GROUP BY ALL")
@@ -136,9 +135,12 @@ TWO = "b AS (SELECT doc_id, line_no, source, length(ref) AS n, CAST(levenshtein(
 
 
 def before_after(spark, sf_dir):
-    held = lines(spark, sf_dir)
+    return _compared(lines(spark, sf_dir))
+
+
+def _compared(held, *more):
     n = edits.char_length(F.col("ref"))
-    out = held.select("doc_id", "source", "line_no", edits.char_edits(F.col("ref"), F.col("hyp")).cast("long").alias("eb"), edits.char_edits(F.col("ref"), F.col("hyp2")).cast("long").alias("ea"), n.cast("long").alias("n"))
+    out = held.select("doc_id", "source", "line_no", *more, edits.char_edits(F.col("ref"), F.col("hyp")).cast("long").alias("eb"), edits.char_edits(F.col("ref"), F.col("hyp2")).cast("long").alias("ea"), n.cast("long").alias("n"))
     return out.withColumns({"before": F.col("eb") / F.col("n"), "after": F.col("ea") / F.col("n")})
 
 
@@ -173,8 +175,11 @@ def highlight_low(spark, sf_dir):
 
 @query("slice_30_45", f"WITH {LINES}, {TWO}, r AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS pos FROM b) SELECT doc_id, line_no, pos, round(before, 6) AS before FROM r WHERE pos BETWEEN 31 AND 45")
 def slice_30_45(spark, sf_dir):
-    placed = numbered(before_after(spark, sf_dir).select("doc_id", "line_no", "before"), [], [F.col("doc_id"), F.col("line_no")])
-    return _rounded(placed.where("pos between 31 and 45"), "before").select("doc_id", "line_no", "pos", "before")
+    """Lines up to the last that is asked for are kept of each task's; these few alone are numbered and compared."""
+    order = [F.asc_nulls_last("doc_id"), F.asc_nulls_last("line_no")]
+    first = lines(spark, sf_dir).orderBy(*order).limit(45)
+    placed = first.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long")).where("pos > 30")
+    return _rounded(_compared(placed, "pos"), "before").select("doc_id", "line_no", "pos", "before")
 
 
 @query("tail_5", f"WITH {LINES}, {TWO} SELECT doc_id, line_no, round(after, 6) AS after FROM b ORDER BY doc_id DESC, line_no DESC LIMIT 5")

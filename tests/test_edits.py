@@ -78,3 +78,9 @@ def test_joined_pages_are_made_once(spark, sf_dir):
     found = evaluation.cer_joined_corpus(spark, sf_dir)
     assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "BroadcastNestedLoopJoin" not in plan
     assert found.first().cer == pytest.approx(found.first().edits / found.first().chars, abs=1e-6)
+
+
+def test_a_wrong_step_is_taken_back():
+    """Characters that recur at once lead astray; what is near an odd gap is compared again, not the whole text."""
+    a = VERSE + "de, the the ing, the thoor e. " + VERSE
+    assert edits.bounded_distance(a, read(a)) == (edits.sequence_distance(a, read(a)),) * 2

@@ -38,6 +38,39 @@ def files(spark: SparkSession, paths: str | list[str], glob: str = "*", recursiv
     return fuller(found).select("path", text.base_name(F.col("path")).alias("name"), "length", *(["content"] if content else []))
 
 
+#: bytes of files that a task hands on together
+TOGETHER = 32 << 20
+
+
+def contents(paths: DataFrame, path: str = "path") -> DataFrame:
+    """path, content of files named in a table, each read by the task that has its row; a file that is not there gives no row.
+
+    Paths have a scheme.  Nothing is listed: a folder's listing is held by the driver, whose memory then grows with the number of files.
+    """
+
+    def each(batches):
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        for pdf in batches:
+            out, size = [], 0
+            for p in pdf[path]:
+                system, bare = fs.FileSystem.from_uri(quote(p, safe=":/@"))
+                try:
+                    with system.open_input_stream(bare) as f:
+                        out.append((p, f.read()))
+                except FileNotFoundError:
+                    continue
+                size += len(out[-1][1])
+                if size >= TOGETHER:
+                    yield pd.DataFrame(out, columns=["path", "content"])
+                    out, size = [], 0
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return paths.where(F.col(path).isNotNull()).select(path).mapInPandas(each, "path string, content binary")
+
+
 def numbered_documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """Files in the order of their names with source_no from 1; a listing, so small."""
     from quire.operators.order import numbered
